@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_tree, quality_qda
+from . import hash_tree, quality_qda, quality_rules, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.flag_listed(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -22,10 +30,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
+    "op6_url_filter": op6_url_filter,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.judge_sql(),
+    "op6_url_filter": url_cascade.flag_listed_sql(),
     "op8_sharding": hash_tree.assign_sql(),
 }
