@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_tree, html_extract, near_dup, packing, quality_qda, quality_rules, secret_ledger, url_cascade
+from . import ann_tree, hash_tree, html_extract, near_dup, packing, piece_codec, quality_qda, quality_rules, secret_ledger, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(_table(spark, sf_dir, "documents"))
 
 
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan(_table(spark, sf_dir, "documents"))
 
@@ -48,11 +56,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
+    "op9_merge_dropout": op9_merge_dropout,
     "op10_secret_scan": op10_secret_scan,
 }
 
