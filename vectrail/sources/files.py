@@ -103,7 +103,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def with_sentinels(results: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Queries without a result get ``k`` rows of id -1 and the largest float, as old readers expect."""
     empty = queries.select("query_id").join(results.select("query_id").distinct(), "query_id", "left_anti")
-    filler = empty.select("query_id", F.lit(-1).cast("bigint").alias("id"), F.lit(3.4028234663852886e38).alias("dist"), F.explode(F.sequence(F.lit(1), F.lit(k))).cast("bigint").alias("rank"))
+    filler = empty.select("query_id", F.lit(-1).cast("bigint").alias("id"), F.lit(3.4028234663852886e38).alias("dist"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))).alias("rank"))
     return results.select("query_id", "id", "dist", "rank").unionByName(filler)
 
 
