@@ -3,11 +3,12 @@
 The batch operator scans the vectors once. Queries travel to the data while
 they are few; every Arrow batch masks, measures with one matrix product and
 keeps its own best k, so the only shuffle is of k rows per query and partition.
-A query side over ``QUERY_LIMIT`` bytes is joined instead.
+A query side over ``QUERY_LIMIT`` bytes meets the vectors in a grid of blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,44 +76,74 @@ def _mask(kind: str, pdf: pd.DataFrame, attrs: list, lo: np.ndarray, hi: np.ndar
     return point if kind == "point" else within if kind == "range" else point & within if kind == "and" else point | within
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: str = "none", exclude_self: bool = False, farthest: bool = False) -> DataFrame:
+Packed = tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]
+_NEAR = "query_id bigint, id bigint, dist double"
+
+
+def _packed(asked: pd.DataFrame) -> Packed:
+    n = len(asked)
+    bounds = [asked[c].to_numpy(float) if c in asked else np.zeros(n) for c in ("lo", "hi")]
+    return np.stack(asked["embedding"].to_numpy()).astype(np.float64), asked["query_id"].to_numpy(), asked["attrs"].tolist() if "attrs" in asked else [], bounds[0], bounds[1]
+
+
+def _block(pdf: pd.DataFrame, asked: Packed, k: int, metric: str, where: str, exclude_self: bool, farthest: bool) -> pd.DataFrame:
+    """The k best of one block of rows for each query, with a few to spare for ties that rounding hides."""
+    q, qids, attrs, lo, hi = asked
+    x, ids = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
+    d = (-1.0 if farthest else 1.0) * _kernel(metric, x, q)
+    keep = _mask(where, pdf, attrs, lo, hi)
+    if keep is not None:
+        d[~keep] = np.inf
+    if exclude_self:
+        d[ids[:, None] == qids[None, :]] = np.inf
+    spare = min(len(x), k + 8)
+    take = np.argpartition(d, spare - 1, 0)[:spare]
+    rows, cols = take.ravel(), np.tile(np.arange(len(q)), spare)
+    good = np.isfinite(d[rows, cols])
+    rows, cols = rows[good], cols[good]
+    return pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "dist": _exact(metric, x[rows], q[cols])})
+
+
+def top_k(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: str = "none", exclude_self: bool = False, farthest: bool = False, query_limit: int = QUERY_LIMIT) -> DataFrame:
     """(query_id, id, dist, rank) with the k nearest (or farthest) rows of ``base`` per query.
 
     ``base``: id, embedding and, for a predicate, attrs and value. ``queries``:
-    query_id, embedding and, likewise, attrs, lo and hi. ``dist`` is not rounded.
+    query_id, embedding and, likewise, attrs, lo and hi. ``dist`` is not
+    rounded. Queries of up to ``query_limit`` bytes are broadcast; beyond, rows
+    and queries are dealt to a grid of blocks that measure each other.
     """
     needs = {"none": [], "point": ["attrs"], "range": ["value"], "and": ["attrs", "value"], "or": ["attrs", "value"]}[where]
-    asked = queries.select("query_id", "embedding", *(["attrs"] if "attrs" in needs else []), *(["lo", "hi"] if "value" in needs else []))
-    head = asked.limit(200_000).toPandas()
-    if not len(head):
-        return base.sparkSession.createDataFrame([], "query_id bigint, id bigint, dist double, rank bigint")
-    if len(head) == 200_000 or len(head) * len(head["embedding"].iloc[0]) * 8 > QUERY_LIMIT:
-        return _joined(base, queries, k, metric, where, exclude_self, farthest)
-    q = np.stack(head["embedding"].to_numpy()).astype(np.float64)
-    packed = (q, head["query_id"].to_numpy(), head["attrs"].tolist() if "attrs" in needs else [], *(head[c].to_numpy(float) if "value" in needs else np.zeros(0) for c in ("lo", "hi")))
-    shared = base.sparkSession.sparkContext.broadcast(packed)
-    sign = -1.0 if farthest else 1.0
+    asked = queries.select("query_id", "embedding", *(["attrs"] if "attrs" in needs else []), *(["lo", "hi"] if "value" in needs else [])).where(F.col("embedding").isNotNull())
+    rows = base.select("id", "embedding", *needs).where(F.col("embedding").isNotNull())
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding").cast("bigint") * 8).alias("bytes")).first()
+    if not size["n"]:
+        return base.sparkSession.createDataFrame([], f"{_NEAR}, rank bigint")
+    if size["bytes"] > query_limit:
+        return _grid(rows, asked, size["n"], math.ceil(size["bytes"] / query_limit), k, metric, where, exclude_self, farthest)
+    shared = base.sparkSession.sparkContext.broadcast(_packed(asked.toPandas()))
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, qids, attrs, lo, hi = shared.value
         for pdf in it:
-            if not len(pdf):
-                continue
-            x, ids = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
-            d = sign * _kernel(metric, x, q)
-            keep = _mask(where, pdf, attrs, lo, hi)
-            if keep is not None:
-                d[~keep] = np.inf
-            if exclude_self:
-                d[ids[:, None] == qids[None, :]] = np.inf
-            spare = min(len(x), k + 8)
-            take = np.argpartition(d, spare - 1, 0)[:spare]
-            rows, cols = take.ravel(), np.tile(np.arange(len(q)), spare)
-            good = np.isfinite(d[rows, cols])
-            rows, cols = rows[good], cols[good]
-            yield pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "dist": _exact(metric, x[rows], q[cols])})
-
-    near = base.select("id", "embedding", *needs).where(F.col("embedding").isNotNull()).mapInPandas(scan, "query_id bigint, id bigint, dist double")
+            if len(pdf):
+                yield _block(pdf, shared.value, k, metric, where, exclude_self, farthest)
+
+    return ranked(rows.mapInPandas(scan, _NEAR), k, descending=farthest)
+
+
+def _grid(rows: DataFrame, asked: DataFrame, n: int, query_blocks: int, k: int, metric: str, where: str, exclude_self: bool, farthest: bool) -> DataFrame:
+    """Every block of rows with every block of queries, neither of which leaves its cell."""
+    row_blocks = max(1, math.ceil(rows.count() / max(1, n) * query_blocks))
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    mine = rows.select("*", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("r"), spread(query_blocks).alias("c"))
+    theirs = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("c"), spread(row_blocks).alias("r"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "dist": []}).astype({"query_id": "int64", "id": "int64", "dist": "float64"})
+        parts = [_block(left.iloc[at : at + 8192], _packed(right), k, metric, where, exclude_self, farthest) for at in range(0, len(left), 8192)]
+        return pd.concat(parts)
+
+    near = mine.groupBy("r", "c").cogroup(theirs.groupBy("r", "c")).applyInPandas(meet, _NEAR)
     return ranked(near, k, descending=farthest)
 
 
@@ -126,8 +157,9 @@ def pairs(base: DataFrame, queries: DataFrame, where: str = "none", exclude_self
     return base.join(q, cond)
 
 
-def _joined(base: DataFrame, queries: DataFrame, k: int, metric: str, where: str, exclude_self: bool, farthest: bool) -> DataFrame:
-    met = pairs(base, queries, where, exclude_self)
+def joined(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: str = "none", exclude_self: bool = False, farthest: bool = False) -> DataFrame:
+    """:func:`top_k` as one join in SQL, for small inputs and for checking the kernel."""
+    met = pairs(base.where(F.col("embedding").isNotNull()), queries, where, exclude_self)
     return ranked(met.select("query_id", "id", METRICS[metric](F.col("embedding"), F.col("q_embedding")).alias("dist")), k, descending=farthest)
 
 
