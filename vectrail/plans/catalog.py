@@ -27,12 +27,13 @@ cells AS (SELECT cluster_id, r AS row, ((((h::HUGEINT * a) % 4294967311) % 42949
 cms AS (SELECT cluster_id, row, col, count(*) AS cnt FROM cells GROUP BY ALL),
 totals AS (SELECT cluster_id, count(*) AS total FROM members GROUP BY ALL)"""
 
-MURMUR_SQL = """m0 AS (SELECT *, (id * 1540483477) & 4294967295 AS k0, (46::BIGINT * 1540483477) & 4294967295 AS s0 FROM {source}),
-m1 AS (SELECT *, (xor(k0, k0 >> 24) * 1540483477) & 4294967295 AS k1 FROM m0),
-m2 AS (SELECT *, (xor(s0, k1) * 1540483477) & 4294967295 AS x1 FROM m1),
-m3 AS (SELECT *, ((x1 >> 22) * 1540483477) & 4294967295 AS y1 FROM m2),
-m4 AS (SELECT *, (xor(x1, y1 >> 17) * 1540483477) & 4294967295 AS h1 FROM m3),
-murmur AS (SELECT *, (xor(y1, h1 >> 19) * 1540483477) & 4294967295 AS h2 FROM m4)"""
+MURMUR_SQL = """{p}m0 AS (SELECT *, (id * 1540483477) & 4294967295 AS k0, (46::BIGINT * 1540483477) & 4294967295 AS s0 FROM {source}),
+{p}m1 AS (SELECT *, (xor(k0, k0 >> 24) * 1540483477) & 4294967295 AS k1 FROM {p}m0),
+{p}m2 AS (SELECT *, (xor(s0, k1) * 1540483477) & 4294967295 AS x1 FROM {p}m1),
+{p}m3 AS (SELECT *, ((x1 >> 22) * 1540483477) & 4294967295 AS y1 FROM {p}m2),
+{p}m4 AS (SELECT *, (xor(x1, y1 >> 17) * 1540483477) & 4294967295 AS h1 FROM {p}m3),
+{p}murmur AS (SELECT *, (xor(y1, h1 >> 19) * 1540483477) & 4294967295 AS h2 FROM {p}m4)"""
+PLACED_SQL = "placed AS (SELECT m.cluster_id, m.id, least(floor(c.cdf * 10)::BIGINT, 10) AS bucket FROM members m JOIN base b USING (id) JOIN cdf c ON c.cluster_id = m.cluster_id AND c.value = b.value)"
 
 CDF_SQL = """counted AS (SELECT m.cluster_id, b.value, count(*) AS n FROM members m JOIN base b USING (id) GROUP BY ALL),
 cdf AS (SELECT cluster_id, value, (sum(n) OVER (PARTITION BY cluster_id ORDER BY value))::DOUBLE / sum(n) OVER (PARTITION BY cluster_id) AS cdf FROM counted)"""
@@ -390,7 +391,7 @@ def hash_djb2(spark: SparkSession, sf: str) -> DataFrame:
     return X.base(spark, sf).select(F.explode("attrs").alias("attr")).distinct().select("attr", C.djb2(F.col("attr")).alias("hash"))
 
 
-@query("hash_murmur", "WITH src AS (SELECT vec_id AS id FROM embeddings), " + MURMUR_SQL.format(source="src") + " SELECT id, h1, h2, h1 >> 16 AS fingerprint FROM murmur")
+@query("hash_murmur", "WITH src AS (SELECT vec_id AS id FROM embeddings), " + MURMUR_SQL.format(p="", source="src") + " SELECT id, h1, h2, h1 >> 16 AS fingerprint FROM murmur")
 def hash_murmur(spark: SparkSession, sf: str) -> DataFrame:
     h = X.vectors(spark, sf).select("id", C.murmur_halves(F.col("id")).alias("h"))
     return h.select("id", "h.h1", "h.h2", _b(F.shiftrightunsigned("h.h1", 16)).alias("fingerprint"))
@@ -400,7 +401,7 @@ def _cms(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.cms_build(X.membership(spark, sf), X.base(spark, sf))
 
 
-@query("cms_build", X.CLUSTERS + ", " + CMS_SQL + ", " + MURMUR_SQL.format(source="cells") + """ SELECT cluster_id, row, col, count(*) AS cnt,
+@query("cms_build", X.CLUSTERS + ", " + CMS_SQL + ", " + MURMUR_SQL.format(p="", source="cells") + """ SELECT cluster_id, row, col, count(*) AS cnt,
 array_to_string(list_transform(list_sort(list_distinct(list(h1 >> 16)))[1:1000], lambda x: x::VARCHAR), ',') AS fps FROM murmur GROUP BY cluster_id, row, col""")
 def cms_build(spark: SparkSession, sf: str) -> DataFrame:
     return _cms(spark, sf).select("cluster_id", "row", _b("col").alias("col"), "cnt", F.array_join(F.transform("fps", lambda x: x.cast("string")), ",").alias("fps"))
@@ -432,9 +433,8 @@ def cluster_cdf(spark: SparkSession, sf: str) -> DataFrame:
     return _cdf(spark, sf).select("cluster_id", "value", F.round("cdf", 6).alias("cdf"))
 
 
-@query("bottom_k", X.CLUSTERS + ", " + CDF_SQL + """, placed AS (SELECT m.cluster_id, m.id, least(floor(c.cdf * 10)::BIGINT, 10) AS bucket FROM members m JOIN base b USING (id) JOIN cdf c ON c.cluster_id = m.cluster_id AND c.value = b.value), """
-       + MURMUR_SQL.format(source="placed") + """, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, bucket ORDER BY h1, h2) AS r FROM murmur)
-SELECT cluster_id, bucket, array_to_string(list_transform(list_sort(list_distinct(list(h1 >> 16))), lambda x: x::VARCHAR), ',') AS fps FROM r WHERE r <= 1000 GROUP BY ALL""")
+@query("bottom_k", X.CLUSTERS + ", " + CDF_SQL + ", " + PLACED_SQL + ", " + MURMUR_SQL.format(p="", source="placed") + """, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, bucket ORDER BY h1, h2) AS r FROM murmur)
+SELECT cluster_id, bucket, array_to_string(list_transform(list_sort(list_distinct(list(h1 >> 16))), lambda x: x::VARCHAR), ',') AS fps FROM r WHERE r <= 1000 GROUP BY ALL""")
 def bottom_k(spark: SparkSession, sf: str) -> DataFrame:
     k = sketches.bottom_k(X.membership(spark, sf), X.base(spark, sf))
     return k.select("cluster_id", _b("bucket").alias("bucket"), F.array_join(F.transform("fps", lambda x: x.cast("string")), ",").alias("fps"))
@@ -510,7 +510,21 @@ def popularity_range(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.popularity_range(X.queries(spark, sf), sketches.linear_model(_cdf(spark, sf))).select("query_id", F.round("popularity", 5).alias("popularity"))
 
 
-@query("popularity_and")
+_AND_SQL = (
+    X.CLUSTERS + ", " + CMS_SQL + ", " + PROBE_SQL + ", " + CDF_SQL + ", " + LINEAR_SQL + ", " + PLACED_SQL + ", " + MURMUR_SQL.format(p="c", source="cells") + ", " + MURMUR_SQL.format(p="b", source="placed")
+    + f""", cell_fps AS (SELECT cluster_id, row, col, count(*) AS cnt, list_sort(list_distinct(list(h1 >> 16)))[1:1000] AS fps FROM cmurmur GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, bucket ORDER BY h1, h2) AS r FROM bmurmur),
+bounds AS (SELECT q.query_id, m.cluster_id, least(floor(({predict_sql('q.lo')}) * 10)::BIGINT, 10) AS b0, least(floor(({predict_sql('q.hi')}) * 10)::BIGINT, 10) AS b1 FROM q CROSS JOIN model m),
+in_range AS (SELECT b.query_id, b.cluster_id, list_distinct(list(r.h1 >> 16)) AS fps FROM bounds b JOIN ranked r ON r.cluster_id = b.cluster_id AND r.r <= 1000 AND r.bucket BETWEEN b.b0 AND b.b1 GROUP BY ALL),
+probed AS (SELECT p.query_id, p.attr, t.cluster_id, arg_min(coalesce(c.fps, []), (coalesce(c.cnt, 0), p.row)) AS fps FROM probe_cells p CROSS JOIN totals t
+  LEFT JOIN cell_fps c ON c.cluster_id = t.cluster_id AND c.row = p.row AND c.col = p.col GROUP BY ALL),
+both_of AS (SELECT p.query_id, p.cluster_id, p.attr, len(list_intersect(p.fps, coalesce(i.fps, []))) AS common, len(p.fps) AS size FROM probed p LEFT JOIN in_range i USING (query_id, cluster_id)),
+first_of AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY common DESC, cluster_id, attr) AS r FROM both_of)
+SELECT query_id, cluster_id, common::BIGINT AS common, round(CASE WHEN size > 0 THEN common / size ELSE 0 END, 6) AS popularity FROM first_of WHERE r = 1"""
+)
+
+
+@query("popularity_and", _AND_SQL)
 def popularity_and(spark: SparkSession, sf: str) -> DataFrame:
     m, b = X.membership(spark, sf), X.base(spark, sf)
     p = sketches.popularity_and(X.queries(spark, sf), sketches.cms_build(m, b), sketches.linear_model(sketches.cluster_cdf(m, b)), sketches.bottom_k(m, b))
