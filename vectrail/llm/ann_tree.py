@@ -31,6 +31,7 @@ MAX_LOCAL = 4_000
 LEAF = 96
 BRANCH = 12
 ROUNDS = 5
+CELL_QUERIES = 20_000
 BROADCAST_LIMIT = 32 << 20
 #: (upper nodes, leaves in each) visited per query; the last visits all.
 WIDENING = ((1, 8), (2, 16), (4, 32), (6, 64), (10, 128), (16, 256), (32, 512), (1 << 30, 1 << 30))
@@ -225,21 +226,26 @@ def _upper(rows: DataFrame, n: int, dim: int, max_local: int) -> tuple[DataFrame
     return placed, {g: centroids[g] for g in sizes}
 
 
-def _search(queries: DataFrame, placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k: int, nodes: int, visits: int) -> DataFrame:
-    """(id, neighbour, dist, rank) for ``queries`` (id, v)."""
+def _search(queries: DataFrame, expected: int, placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k: int, nodes: int, visits: int) -> DataFrame:
+    """(id, neighbour, dist, rank) for ``queries`` (id, v), of which there are ``expected``."""
     names = np.array(sorted(centroids), np.int64)
     shared = queries.sparkSession.sparkContext.broadcast((names, np.array([centroids[g] for g in names], np.float32)))
     nodes = min(nodes, len(names))
 
+    # a group meets its queries in parts, so that a cell's size doesn't grow with the visits that recall takes
+    salts = max(1, math.ceil(expected * nodes / len(names) / CELL_QUERIES))
+
     def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, centres = shared.value
-        for pdf in it:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf["v"], dim), centres)
-            near = np.argpartition(d, nodes - 1, 1)[:, :nodes] if nodes < len(names) else np.tile(np.arange(len(names)), (len(pdf), 1))
-            rep = np.repeat(np.arange(len(pdf)), nodes)
-            yield pd.DataFrame({"qid": pdf["id"].to_numpy()[rep], "qv": pdf["v"].to_numpy()[rep], "qgrp": names[near.ravel()]})
+        step = max(1, 4096 // nodes)
+        for whole in it:
+            for at in range(0, len(whole), step):
+                pdf = whole.iloc[at : at + step]
+                d = _distances(_matrix(pdf["v"], dim), centres)
+                near = np.argpartition(d, nodes - 1, 1)[:, :nodes] if nodes < len(names) else np.tile(np.arange(len(names)), (len(pdf), 1))
+                rep = np.repeat(np.arange(len(pdf)), nodes)
+                qid = pdf["id"].to_numpy()[rep]
+                yield pd.DataFrame({"qid": qid, "qv": pdf["v"].to_numpy()[rep], "qgrp": names[near.ravel()], "qsalt": qid % salts})
 
     def meet(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(asking):
@@ -249,8 +255,9 @@ def _search(queries: DataFrame, placed: DataFrame, centroids: dict[int, np.ndarr
         a, near, dist = LocalTree(_matrix(mine["v"], dim)).search(ids, _matrix(asking["qv"], dim), qids, k, visits)
         return pd.DataFrame({"id": qids[a], "neighbour": near, "dist": dist})
 
-    routed = queries.select("id", "v").mapInPandas(route, "qid bigint, qv array<float>, qgrp bigint")
-    found = placed.groupBy("grp").cogroup(routed.groupBy("qgrp")).applyInPandas(meet, "id bigint, neighbour bigint, dist double")
+    routed = queries.select("id", "v").mapInPandas(route, "qid bigint, qv array<float>, qgrp bigint, qsalt bigint")
+    held = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    found = held.groupBy("grp", "salt").cogroup(routed.groupBy("qgrp", "qsalt")).applyInPandas(meet, "id bigint, neighbour bigint, dist double")
     first = W.partitionBy("id").orderBy("dist", "neighbour")
     return found.withColumn("rank", F.row_number().over(first).cast("bigint")).where(F.col("rank") <= k)
 
@@ -285,7 +292,7 @@ def calibrate(placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k:
     truth = _exact(asked, placed, dim, k)
     total = sum(map(len, truth.values()))
     for nodes, visits in WIDENING:
-        found = _search(asked, placed, centroids, dim, k, nodes, visits).select("id", "neighbour").collect()
+        found = _search(asked, sample, placed, centroids, dim, k, nodes, visits).select("id", "neighbour").collect()
         reached = sum(r["neighbour"] in truth.get(r["id"], ()) for r in found) / max(1, total)
         if reached >= recall:
             break
@@ -311,4 +318,4 @@ def neighbours(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     placed, centroids = _upper(rows, n, dim, max_local)
     placed = materialise(placed, "kmeans-tree")
     nodes, visits, _ = calibrate(placed, centroids, dim, k, recall, sample)
-    return _search(placed, placed, centroids, dim, k, nodes, visits).select(*names)
+    return _search(placed, n, placed, centroids, dim, k, nodes, visits).select(*names)
