@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import l2
+from ..session import materialise
 from . import sketches
 from .graph import expand, hops
 from .search import _exact, _kernel, _mask, predicate, ranked
@@ -165,7 +166,7 @@ def predictive(base: DataFrame, queries: DataFrame, edges: DataFrame, membership
     ``or`` only the nearest beam node of a cluster goes two hops.
     """
     limit = THRESHOLDS[where] if threshold is None else threshold
-    beam = ann_beam(base, queries, ef)
+    beam = materialise(ann_beam(base, queries, ef), "beam")
     mask = masks(base, queries, where)
     if always_two:
         reached = expand(beam, edges, mask, 2)

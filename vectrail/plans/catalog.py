@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import evaluate, graph, search, sketches, strategies, table
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,6 +397,12 @@ def hash_murmur(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("id", "h.h1", "h.h2", _b(F.shiftrightunsigned("h.h1", 16)).alias("fingerprint"))
 
 
+def _sketched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Membership and count-min cells, built once for all that read them."""
+    m = X.membership(spark, sf)
+    return m, materialise(sketches.cms_build(m, X.base(spark, sf)), "cms")
+
+
 def _cms(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.cms_build(X.membership(spark, sf), X.base(spark, sf))
 
@@ -414,7 +420,8 @@ def cms_estimate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cms_bounds", X.CLUSTERS + ", " + CMS_SQL + " SELECT round(min(cnt / total), 6) AS low, round(max(cnt / total), 6) AS high FROM cms JOIN totals USING (cluster_id)")
 def cms_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    b = sketches.cms_bounds(_cms(spark, sf), X.membership(spark, sf))
+    m, cms = _sketched(spark, sf)
+    b = sketches.cms_bounds(cms, m)
     return b.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -501,7 +508,8 @@ _MASS = f"mass AS (SELECT q.query_id, m.cluster_id, CASE WHEN q.lo > q.hi THEN 0
 
 @query("popularity_point", X.CLUSTERS + ", " + CMS_SQL + ", " + PROBE_SQL + ", " + _POINT_POP + " SELECT query_id, round(popularity, 6) AS popularity, CASE WHEN popularity > 0 THEN cluster_id END AS cluster_id FROM pp")
 def popularity_point(spark: SparkSession, sf: str) -> DataFrame:
-    p = sketches.popularity_point(X.queries(spark, sf), _cms(spark, sf), X.membership(spark, sf))
+    m, cms = _sketched(spark, sf)
+    p = sketches.popularity_point(X.queries(spark, sf), cms, m)
     return p.select("query_id", F.round("popularity", 6).alias("popularity"), "cluster_id")
 
 
@@ -526,15 +534,16 @@ SELECT query_id, cluster_id, common::BIGINT AS common, round(CASE WHEN size > 0
 
 @query("popularity_and", _AND_SQL)
 def popularity_and(spark: SparkSession, sf: str) -> DataFrame:
-    m, b = X.membership(spark, sf), X.base(spark, sf)
-    p = sketches.popularity_and(X.queries(spark, sf), sketches.cms_build(m, b), sketches.linear_model(sketches.cluster_cdf(m, b)), sketches.bottom_k(m, b))
+    (m, cms), b = _sketched(spark, sf), X.base(spark, sf)
+    p = sketches.popularity_and(X.queries(spark, sf), cms, sketches.linear_model(sketches.cluster_cdf(m, b)), sketches.bottom_k(m, b))
     return p.select("query_id", "cluster_id", "common", F.round("popularity", 6).alias("popularity"))
 
 
 @query("popularity_or", X.CLUSTERS + ", " + CMS_SQL + ", " + PROBE_SQL + ", " + _POINT_POP + ", " + CDF_SQL + ", " + LINEAR_SQL + ", " + _MASS
        + " SELECT query_id, round(popularity, 6) AS point, round(m, 5) AS mass FROM pp JOIN (SELECT query_id, max(mass) AS m FROM mass GROUP BY query_id) USING (query_id)")
 def popularity_or(spark: SparkSession, sf: str) -> DataFrame:
-    p = sketches.popularity_or(X.queries(spark, sf), _cms(spark, sf), X.membership(spark, sf), sketches.linear_model(_cdf(spark, sf)))
+    m, cms = _sketched(spark, sf)
+    p = sketches.popularity_or(X.queries(spark, sf), cms, m, sketches.linear_model(sketches.cluster_cdf(m, X.base(spark, sf))))
     return p.select("query_id", F.round("point", 6).alias("point"), F.round("mass", 5).alias("mass"))
 
 
@@ -578,7 +587,8 @@ def ann_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("search_dynamic")
 def search_dynamic(spark: SparkSession, sf: str) -> DataFrame:
-    popular = sketches.popularity_point(X.queries(spark, sf), _cms(spark, sf), X.membership(spark, sf))
+    m, cms = _sketched(spark, sf)
+    popular = sketches.popularity_point(X.queries(spark, sf), cms, m)
     return _out(strategies.ann_knn(X.base(spark, sf), X.queries(spark, sf), 10, 64, where="point", mode="dynamic", popularity=popular, threshold=0.3))
 
 
@@ -586,8 +596,8 @@ def _predictive(where: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         b, e = X.base(spark, sf), X.edges(spark, sf)
         m = sketches.neighbourhood_membership(e)
-        cms = sketches.cms_build(m, b) if where != "range" else None
-        model = sketches.linear_model(sketches.cluster_cdf(m, b)) if where != "point" else None
+        cms = materialise(sketches.cms_build(m, b), "cms") if where != "range" else None
+        model = materialise(sketches.linear_model(sketches.cluster_cdf(m, b)), "cdf-model") if where != "point" else None
         return _out(strategies.predictive(b, X.queries(spark, sf), e, m, where, 10, 64, cms, model))
 
     return run
@@ -617,7 +627,7 @@ SELECT query_id, id, round(dist, 6) AS dist, rank FROM (SELECT *, row_number() O
 def search_cluster_first(spark: SparkSession, sf: str) -> DataFrame:
     b, e = X.base(spark, sf), X.edges(spark, sf)
     m = sketches.neighbourhood_membership(e)
-    return _out(strategies.cluster_first(b, X.queries(spark, sf), e, m, m, sketches.cms_build(m, b), 20, 10))
+    return _out(strategies.cluster_first(b, X.queries(spark, sf), e, m, m, materialise(sketches.cms_build(m, b), "cms"), 20, 10))
 
 
 # ---------------------------------------------------------------- evaluation and generation

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, sketches
+from ..session import materialise
 
 M = 8
 
@@ -35,7 +36,8 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.knn_graph(vectors(spark, sf), M)
+    """The graph is an index: it is written once and read by every operator that walks it."""
+    return materialise(graph.knn_graph(vectors(spark, sf), M), "edges")
 
 
 def membership(spark: SparkSession, sf: str) -> DataFrame:
