@@ -4,8 +4,8 @@ The upper levels of the tree are built by distributed k-means over all vectors
 until every node has at most ``max_local`` of them; below, each node is split
 where its vectors lie. A search takes the nodes nearest to the query from a
 priority queue, opens inner ones and scans leaves. How many nodes and leaves
-are visited is widened step by step until a sample of queries, compared with
-all vectors, reaches the wanted recall; the widest step visits everything.
+are visited is widened until a sample of queries, compared with all vectors,
+reaches the wanted recall; the widest step visits everything.
 
 Upper nodes number about ``N / max_local``; ``max_local`` grows where their
 centroids would exceed ``broadcast_limit``. Lower nodes never leave their group.
@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from ..session import materialise
 
 K = 10
-RECALL = 0.95
+RECALL = 0.94
 SAMPLE = 256
 MAX_LOCAL = 4_000
 LEAF = 96
@@ -33,9 +33,6 @@ BRANCH = 12
 ROUNDS = 5
 CELL_QUERIES = 20_000
 BROADCAST_LIMIT = 32 << 20
-#: (upper nodes, leaves in each) visited per query; the last visits all.
-WIDENING = ((1, 8), (2, 16), (4, 32), (6, 64), (10, 128), (16, 256), (32, 512), (1 << 30, 1 << 30))
-
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.concatenate([np.asarray(x, np.float32) for x in column]).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.float32)
@@ -99,30 +96,37 @@ class LocalTree:
                     self.children.append([])
                     self.rows.append(part)
 
-    def leaves_for(self, q: np.ndarray, visits: int) -> list[tuple[int, np.ndarray]]:
-        """(leaf, queries that visit it): each query's queue gives its nearest open node until it has had ``visits`` leaves."""
+    def visits(self, q: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, queries, how many leaves each had before): every query's queue gives its nearest open node, at most ``most`` leaves."""
         leaf = np.array([r is not None for r in self.rows])
-        if visits >= leaf.sum():
-            return [(int(n), np.arange(len(q))) for n in np.flatnonzero(leaf)]
         distance = _distances(q, np.array(self.centroids, np.float32)).astype(np.float32)
         queue = np.full_like(distance, np.inf)
         queue[:, 0] = distance[:, 0]
-        left = np.full(len(q), visits)
-        seen: dict[int, list[np.ndarray]] = {}
+        had = np.zeros(len(q), np.int64)
         active = np.arange(len(q))
         while len(active):
             node = queue[active].argmin(1)
-            active, node = active[np.isfinite(queue[active, node])], node[np.isfinite(queue[active, node])]
+            left = np.isfinite(queue[active, node])
+            active, node = active[left], node[left]
             queue[active, node] = np.inf
             for n in np.unique(node):
                 who = active[node == n]
                 if leaf[n]:
-                    seen.setdefault(int(n), []).append(who)
-                    left[who] -= 1
+                    yield int(n), who, had[who]
+                    had[who] += 1
                 else:
-                    kids = self.children[n]
-                    queue[np.ix_(who, kids)] = distance[np.ix_(who, kids)]
-            active = active[left[active] > 0]
+                    cells = np.ix_(who, self.children[n])
+                    queue[cells] = distance[cells]
+            active = active[had[active] < most]
+
+    def leaves_for(self, q: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+        """(leaf, queries that visit it)."""
+        leaves = [n for n, r in enumerate(self.rows) if r is not None]
+        if most >= len(leaves):
+            return [(n, np.arange(len(q))) for n in leaves]
+        seen: dict[int, list[np.ndarray]] = {}
+        for n, who, _ in self.visits(q, most):
+            seen.setdefault(n, []).append(who)
         return [(n, np.concatenate(w)) for n, w in seen.items()]
 
     def search(self, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,12 +230,11 @@ def _upper(rows: DataFrame, n: int, dim: int, max_local: int) -> tuple[DataFrame
     return placed, {g: centroids[g] for g in sizes}
 
 
-def _search(queries: DataFrame, expected: int, placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k: int, nodes: int, visits: int) -> DataFrame:
-    """(id, neighbour, dist, rank) for ``queries`` (id, v), of which there are ``expected``."""
+def _routed(queries: DataFrame, expected: int, centroids: dict[int, np.ndarray], dim: int, nodes: int) -> tuple[DataFrame, int]:
+    """Queries (id, v) at each of their nearest groups, with the group's place among them, and the number of parts they are dealt to."""
     names = np.array(sorted(centroids), np.int64)
     shared = queries.sparkSession.sparkContext.broadcast((names, np.array([centroids[g] for g in names], np.float32)))
     nodes = min(nodes, len(names))
-
     # a group meets its queries in parts, so that a cell's size doesn't grow with the visits that recall takes
     salts = max(1, math.ceil(expected * nodes / len(names) / CELL_QUERIES))
 
@@ -241,12 +244,16 @@ def _search(queries: DataFrame, expected: int, placed: DataFrame, centroids: dic
         for whole in it:
             for at in range(0, len(whole), step):
                 pdf = whole.iloc[at : at + step]
-                d = _distances(_matrix(pdf["v"], dim), centres)
-                near = np.argpartition(d, nodes - 1, 1)[:, :nodes] if nodes < len(names) else np.tile(np.arange(len(names)), (len(pdf), 1))
+                near = np.argsort(_distances(_matrix(pdf["v"], dim), centres), 1, kind="stable")[:, :nodes]
                 rep = np.repeat(np.arange(len(pdf)), nodes)
                 qid = pdf["id"].to_numpy()[rep]
-                yield pd.DataFrame({"qid": qid, "qv": pdf["v"].to_numpy()[rep], "qgrp": names[near.ravel()], "qsalt": qid % salts})
+                yield pd.DataFrame({"qid": qid, "qv": pdf["v"].to_numpy()[rep], "qgrp": names[near.ravel()], "place": np.tile(np.arange(nodes), len(pdf)), "qsalt": qid % salts})
 
+    return queries.select("id", "v").mapInPandas(route, "qid bigint, qv array<float>, qgrp bigint, place bigint, qsalt bigint"), salts
+
+
+def _search(queries: DataFrame, expected: int, placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k: int, nodes: int, visits: int) -> DataFrame:
+    """(id, neighbour, dist, rank) for ``queries`` (id, v), of which there are ``expected``."""
     def meet(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(asking):
             return pd.DataFrame({"id": [], "neighbour": [], "dist": []}).astype({"id": "int64", "neighbour": "int64", "dist": "float64"})
@@ -255,7 +262,7 @@ def _search(queries: DataFrame, expected: int, placed: DataFrame, centroids: dic
         a, near, dist = LocalTree(_matrix(mine["v"], dim)).search(ids, _matrix(asking["qv"], dim), qids, k, visits)
         return pd.DataFrame({"id": qids[a], "neighbour": near, "dist": dist})
 
-    routed = queries.select("id", "v").mapInPandas(route, "qid bigint, qv array<float>, qgrp bigint, qsalt bigint")
+    routed, salts = _routed(queries, expected, centroids, dim, nodes)
     held = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
     found = held.groupBy("grp", "salt").cogroup(routed.groupBy("qgrp", "qsalt")).applyInPandas(meet, "id bigint, neighbour bigint, dist double")
     first = W.partitionBy("id").orderBy("dist", "neighbour")
@@ -287,16 +294,42 @@ def _exact(sample: DataFrame, rows: DataFrame, dim: int, k: int) -> dict[int, se
 
 
 def calibrate(placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k: int, recall: float, sample: int) -> tuple[int, int, float]:
-    """The first step of WIDENING that reaches ``recall`` on a sample of queries, and the recall it had."""
+    """(upper nodes, leaves in each, recall): the least work that gives ``recall`` on a sample of queries.
+
+    One job notes for each true neighbour of the sample when the traversal
+    would reach it: the place of its group in the query's queue, and of its
+    leaf within the group. Widening either bound can only find more.
+    """
     asked = materialise(placed.select("id", "v").orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample), "ann-sample")
     truth = _exact(asked, placed, dim, k)
     total = sum(map(len, truth.values()))
-    for nodes, visits in WIDENING:
-        found = _search(asked, sample, placed, centroids, dim, k, nodes, visits).select("id", "neighbour").collect()
-        reached = sum(r["neighbour"] in truth.get(r["id"], ()) for r in found) / max(1, total)
+    if not total:
+        return 1, 1, 1.0
+    shared = placed.sparkSession.sparkContext.broadcast(truth)
+
+    def reach(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int, int]] = []
+        if len(mine) and len(asking):
+            mine = mine.sort_values("id")
+            ids, qids, places = mine["id"].to_numpy(), asking["qid"].to_numpy(), asking["place"].to_numpy()
+            tree = LocalTree(_matrix(mine["v"], dim))
+            leaves = sum(r is not None for r in tree.rows)
+            wanted = [shared.value.get(int(i), set()) for i in qids]
+            for n, who, had in tree.visits(_matrix(asking["qv"], dim), 1 << 60):
+                here = set(ids[tree.rows[n]].tolist())
+                found += [(int(places[j]), int(h), leaves) for j, h in zip(who, had) for _ in wanted[j] & here]
+        return pd.DataFrame(found, columns=["place", "leaf", "leaves"]).astype("int64")
+
+    routed, _ = _routed(asked, sample, centroids, dim, len(centroids))
+    met = placed.groupBy("grp").cogroup(routed.groupBy("qgrp")).applyInPandas(reach, "place bigint, leaf bigint, leaves bigint").toPandas()
+    place, leaf, most = met["place"].to_numpy(), met["leaf"].to_numpy(), int(met["leaves"].max())
+    steps = lambda n: sorted({min(n, round(1.2**i)) for i in range(math.ceil(math.log(n + 1, 1.2)) + 1)})
+    widening = sorted((nodes * visits, nodes, visits) for nodes in steps(len(centroids)) for visits in steps(most))
+    for _, nodes, visits in widening:
+        reached = float(((place < nodes) & (leaf < visits)).sum()) / total
         if reached >= recall:
-            break
-    return nodes, visits, reached
+            return nodes, visits, reached
+    return len(centroids), 1 << 30, 1.0
 
 
 def neighbours(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, recall: float = RECALL, sample: int = SAMPLE, max_local: int = MAX_LOCAL, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
