@@ -230,6 +230,53 @@ def test_large_groups_and_shared_passages(spark):
     assert len({r.kept_id for r in rows}) == 1
 
 
+def _groups(texts, threshold=near_dup.THRESHOLD):
+    """Connected components of the near duplicates, as sets of ids, those of one document left out."""
+    made = {i: near_dup.shingle_set(t)[0] for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(texts, 2):
+        small, large = sorted((len(made[a]), len(made[b])))
+        if small >= threshold * large and len(np.intersect1d(made[a], made[b])) >= threshold * small:
+            root[find(a)] = find(b)
+    out = collections.defaultdict(set)
+    for i in texts:
+        out[find(i)].add(i)
+    return {frozenset(g) for g in out.values() if len(g) > 1}
+
+
+def test_one_of_each_linked_group_stays(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts, next_id = {}, itertools.count()
+    for _ in range(30):  # B near A and C, A not near C, B last in order
+        base = [word() for _ in range(200)]
+        a, c = base[:], base[:]
+        a[:44], c[-44:] = [word() for _ in range(46)], [word() for _ in range(46)]
+        for t in (a, c, base):
+            texts[next(next_id)] = " ".join(t)
+    base = [word() for _ in range(200)]
+    for _ in range(30):
+        copy = list(base)
+        for at in rng.sample(range(200), 12):
+            copy[at] = word()
+        texts[next(next_id)] = " ".join(copy)
+    texts[next(next_id)] = " ".join(base)
+    rows = near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.kept_id] |= {r.doc_id, r.kept_id}
+        assert r.containment >= near_dup.THRESHOLD
+    assert len(_groups(texts)) == 31
+    assert {frozenset(g) for g in got.values()} == _groups(texts)
+    assert len(rows) == 30 * 2 + 30
+
+
 def test_banding_reaches_its_recall():
     for p in range(14):
         least, rows, bands = near_dup.banding(p, 0.7)
