@@ -450,6 +450,39 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert sorted(r.n for r in secret_ledger.scan(more, ledger, rules=newer).collect()) == [1, 1, 1, 1]
 
 
+def test_whole_keys_and_all_forms_of_credentials(spark):
+    import base64
+
+    rng = random.Random(2)
+
+    def key(kind, head="", end=True, eol="\n"):
+        body = base64.b64encode(rng.randbytes(1190)).decode()
+        lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+        return eol.join([f"-----BEGIN {kind}PRIVATE KEY-----{head}", *lines] + [f"-----END {kind}PRIVATE KEY-----"] * end), lines
+
+    made = [key("RSA "), key("RSA "), key("", end=False), key("EC ", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,04AB\n"), key("RSA ", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,04AB\n", end=False), key("", eol="\\n")]
+    value = "9f86d081884c7d659a2feaa0c55ad015"
+    forms = [f'API_KEY="{value}"', f"Password: '{value}'", f"password={value}", f"Token: abcdefgh{value[:8]}", f"DB_SECRET = {value}=="]
+    code = ["token = self.tokenizer.next_token_of_line", "password = get_password_from_environment()", "Password: required", "-----BEGIN PRIVATE KEY----- is how it begins, " + "and prose goes on - with dashes " * 20_000]
+    texts = {i: f"before {k} after, end" for i, (k, _) in enumerate(made)} | {10 + i: f"before {f} after, end" for i, f in enumerate(forms)} | {20 + i: c for i, c in enumerate(code)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = secret_ledger.scan(df).collect()
+    keys = {r.doc_id: r.fingerprint for r in rows if r.rule == "private_key" and r.doc_id < 10}
+    assert set(keys) == set(range(len(made))) and len(set(keys.values())) == len(made)
+    assert {r.doc_id for r in rows if r.rule == "quoted_credential"} == {10 + i for i in range(len(forms))}
+    clean = {r.doc_id: r.text for r in secret_ledger.redact(df).collect()}
+    for i, (_, lines) in enumerate(made):
+        assert not any(x in clean[i] for x in lines)
+        assert clean[i].startswith("before [private_key]") and clean[i].endswith(", end")
+    assert all(value[:8] not in clean[10 + i] and clean[10 + i].endswith(" after, end") for i in range(len(forms)))
+    assert all(clean[20 + i] == code[i] for i in range(3))
+    assert clean[23] == code[3].replace("-----BEGIN PRIVATE KEY-----", "[private_key]")
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    wanted = con.execute(secret_ledger.scan_sql("documents")).fetchall()
+    assert {(d, b, r, f, n) for d, b, r, f, n in wanted} == {(r.doc_id, r.blob, r.rule, r.fingerprint, r.n) for r in rows}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
