@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, SparkSession] = {}
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -45,8 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/vectrail-{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that no other call gets; it is removed when the process ends."""
+    path = f"{shared_dir(spark)}/vectrail-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE[path] = spark
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -54,4 +64,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path  # type: ignore[attr-defined]
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialise` wrote, once nothing that is yet to be evaluated reads them; others are left alone."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).get("_scratch")
+        if path in _MADE:
+            _remove(_MADE.pop(path), path)
+
+
+@atexit.register
+def _clean() -> None:
+    """Take the scratch tables along; where the context has ended before, those on a cluster's folder stay."""
+    for path, spark in list(_MADE.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(spark, path)
+        except Exception:  # noqa: BLE001, PERF203 - the process is ending, and its gateway may be gone
+            break
+    _MADE.clear()
+    for folder in _LOCAL.values():
+        shutil.rmtree(folder, ignore_errors=True)
