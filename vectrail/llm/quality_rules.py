@@ -4,9 +4,10 @@ A sketch is a table of counts per logarithmic bucket (relative error 1 %), so
 sketches merge by adding counts: the groups' sketches give those of each
 language and of the corpus without a second pass over the texts. A rule's
 threshold in a group is a fence beyond the upper or lower quartile, its width
-taken from the same sketch. Groups with few documents use their language's
-sketch, and languages with few the corpus's. The thresholds are then joined to
-the documents and filter them.
+taken from the same sketch. Thresholds of small groups say little, so each is
+averaged with its language's, and a language's with the corpus's, with weights
+that follow the number of documents: a group of ``prior`` documents counts for
+half. The thresholds are then joined to the documents and filter them.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from ..session import materialise
 from .text_stats import bound, counts, counts_sql
 
 GAMMA = 1.02
-MIN_GROUP = 200
-FENCE = 4.0
+PRIOR = 200
+FENCE = 3.0
 #: rule -> (side of the fence, least width of the interquartile range in natural log units)
 RULES: dict[str, tuple[str, float]] = {
     "symbol_rate": ("high", 0.5),
@@ -35,11 +36,14 @@ ALL = "*"
 
 
 def _statistics(c: Column) -> Column:
-    """Positive statistics; the constants pull short texts, which say little, towards common values."""
+    """Positive statistics; the constants pull short texts, which say little, towards common values.
+
+    The rates have a floor, so all texts without symbols (capitals) are alike, however long.
+    """
     length = (c["chars"] + 250) / (c["words"] + 40)
     return F.struct(
-        ((c["symbols"] + 1) / (c["chars"] + 400)).alias("symbol_rate"),
-        ((c["uppers"] + 6) / (c["chars"] + 400)).alias("upper_rate"),
+        (c["symbols"] / (c["chars"] + 100) + 0.015).alias("symbol_rate"),
+        (c["uppers"] / (c["chars"] + 100) + 0.02).alias("upper_rate"),
         (F.pow(c["words"] + 20, F.lit(0.85)) / (c["distinct_words"] + 20)).alias("repetition"),
         length.alias("word_length_high"),
         length.alias("word_length_low"),
@@ -84,15 +88,16 @@ def thresholds(sketch: DataFrame, fence: float = FENCE) -> DataFrame:
     return q.select("lang", "source", "n", "rule", F.when(high, F.col("q3") + fence * width).otherwise(F.col("q1") - fence * width).alias("cut"))
 
 
-def _group_cuts(sketch: DataFrame, fence: float, min_group: int) -> DataFrame:
-    """One row per (lang, source): a cut per rule, from the narrowest level that has ``min_group`` documents."""
-    cuts = thresholds(sketch, fence).groupBy("lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(r) for r in RULES])
+def _group_cuts(sketch: DataFrame, fence: float, prior: float) -> DataFrame:
+    """One row per (lang, source): a cut per rule, its own averaged with its language's, and that with the corpus's."""
+    cuts = thresholds(sketch, fence).groupBy("lang", "source").agg(F.max("n").cast("double").alias("n"), *[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(r) for r in RULES])
     at = lambda lang, source: cuts.where((F.col("lang") == ALL if lang else F.col("lang") != ALL) & (F.col("source") == ALL if source else F.col("source") != ALL))
     own = at(False, False).select("lang", "source", F.struct("n", *RULES).alias("own"))
     wide = at(False, True).select("lang", F.struct("n", *RULES).alias("wide"))
     corpus = at(True, True).select(F.struct("n", *RULES).alias("corpus"))
-    level = F.when(F.col("own")["n"] >= min_group, F.col("own")).when(F.col("wide")["n"] >= min_group, F.col("wide")).otherwise(F.col("corpus"))
-    return own.join(wide, "lang").crossJoin(corpus).select("lang", "source", level.alias("cut"))
+    mean = lambda level, r, above: (F.col(level)["n"] * F.col(level)[r] + prior * above) / (F.col(level)["n"] + prior)
+    level = F.struct(*[mean("own", r, mean("wide", r, F.col("corpus")[r])).alias(r) for r in RULES])
+    return own.join(wide, "lang").crossJoin(F.broadcast(corpus)).select("lang", "source", level.alias("cut"))
 
 
 def _group(c: str) -> Column:
@@ -117,38 +122,41 @@ def _bucketed(docs: DataFrame, keep: list[Column], text: str, lang: str, source:
     return docs.select(*keep, _group(lang).alias("lang"), _group(source).alias("source"), bound(statistics(F.col(text)), as_buckets).alias("b"))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, prior: float = PRIOR) -> DataFrame:
     """One row per document: ``doc_id``, ``keep`` and ``failed`` (rules broken, comma-separated, '' if none).
 
     Null languages and sources are groups of their own; a null text counts as
     ''. A text at a threshold passes. Repeated rows each count in the sketches,
-    are judged alike and are all returned. Texts are measured whole. Extra
-    columns are not read; an empty table gives an empty result.
+    are judged alike and are all returned; a null id is an id. Texts are
+    measured whole. Extra columns are not read, whatever their names; an empty
+    table gives an empty result.
     """
     rows = materialise(_bucketed(docs, [F.col(doc_id).alias("__doc")], text, lang, source), "rules")
-    cuts = materialise(_group_cuts(materialise(sketches(rows), "rule-sketches"), fence, min_group), "rule-cuts")
+    cuts = materialise(_group_cuts(materialise(sketches(rows), "rule-sketches"), fence, prior), "rule-cuts")
     joined = rows.join(cuts, ["lang", "source"])
     return joined.select(F.col("__doc").alias(doc_id), _passes(F.col("b"), F.col("cut")).alias("keep"), _failed(F.col("b"), F.col("cut")).alias("failed"))
 
 
-def keep_passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+def keep_passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, prior: float = PRIOR) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns as they are, whatever their names.
+
+    Null, empty and very long texts, ties, repeated rows and empty tables are treated as there.
+    """
     sketch = materialise(sketches(_bucketed(docs, [], text, lang, source)), "rule-sketches")
-    cuts = materialise(_group_cuts(sketch, fence, min_group), "rule-cuts")
+    cuts = materialise(_group_cuts(sketch, fence, prior), "rule-cuts")
     as_buckets = lambda s: F.struct(*[bucket(s[r]).alias(r) for r in RULES])
-    tagged = docs.select("*", _group(lang).alias("__lang"), _group(source).alias("__source"))
-    named = cuts.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("cut").alias("__cut"))
-    joined = tagged.join(named, (F.col("__lang") == F.col("__l")) & (F.col("__source") == F.col("__s")))
-    passing = bound(F.struct(bound(statistics(F.col(text)), as_buckets).alias("b"), F.col("__cut").alias("cut")), lambda x: _passes(x["b"], x["cut"]))
-    return joined.where(passing).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), _group(lang).alias("lang"), _group(source).alias("source"))
+    joined = rows.join(cuts, ["lang", "source"])
+    passing = bound(F.struct(bound(statistics(F.col("text")), as_buckets).alias("b"), F.col("cut").alias("cut")), lambda x: _passes(x["b"], x["cut"]))
+    return joined.where(passing).select("row.*")
 
 
-def judge_sql(table: str = "documents", fence: float = FENCE, min_group: int = MIN_GROUP) -> str:
+def judge_sql(table: str = "documents", fence: float = FENCE, prior: float = PRIOR) -> str:
     """DuckDB SQL for the rows of :func:`judge`."""
     unit = math.log(GAMMA)
     value = {
-        "symbol_rate": "(symbols + 1) / (chars + 400)",
-        "upper_rate": "(uppers + 6) / (chars + 400)",
+        "symbol_rate": "symbols / (chars + 100) + 0.015::DOUBLE",
+        "upper_rate": "uppers / (chars + 100) + 0.02::DOUBLE",
         "repetition": "pow(words + 20, 0.85) / (distinct_words + 20)",
         "word_length_high": "(chars + 250) / (words + 40)",
         "word_length_low": "(chars + 250) / (words + 40)",
@@ -158,7 +166,8 @@ def judge_sql(table: str = "documents", fence: float = FENCE, min_group: int = M
     least = "CASE rule " + " ".join(f"WHEN '{r}' THEN {w / unit!r}::DOUBLE" for r, (_, w) in RULES.items()) + " END"
     high = ", ".join(f"'{r}'" for r, (side, _) in RULES.items() if side == "high")
     wide = ", ".join(f"max(CASE WHEN rule = '{r}' THEN cut END) AS {r}" for r in RULES)
-    chosen = ", ".join(f"CASE WHEN o.n >= {min_group} THEN o.{r} WHEN w.n >= {min_group} THEN w.{r} ELSE a.{r} END AS c_{r}" for r in RULES)
+    mean = lambda level, r, above: f"({level}.n * {level}.{r} + {float(prior)!r}::DOUBLE * {above}) / ({level}.n + {float(prior)!r}::DOUBLE)"
+    chosen = ", ".join(f"{mean('o', r, mean('w', r, f'a.{r}'))} AS c_{r}" for r in RULES)
     broken = ", ".join(f"CASE WHEN {r} {'>' if side == 'high' else '<'} c_{r} THEN '{r}' END" for r, (side, _) in RULES.items())
     return f"""WITH c AS (SELECT doc_id, coalesce('=' || lang, 'null') AS g_lang, coalesce('=' || source, 'null') AS g_source,
        {counts_sql()} FROM {table}),
@@ -172,7 +181,7 @@ q AS (SELECT g_lang, g_source, rule, max(total) AS n, min(CASE WHEN upto >= 0.25
              min(CASE WHEN upto >= 0.75 * total THEN bucket END) AS q3 FROM r GROUP BY ALL),
 t AS (SELECT g_lang, g_source, n, rule, CASE WHEN rule IN ({high}) THEN q3 + {fence!r}::DOUBLE * greatest((q3 - q1)::DOUBLE, {least})
              ELSE q1 - {fence!r}::DOUBLE * greatest((q3 - q1)::DOUBLE, {least}) END AS cut FROM q),
-p AS (SELECT g_lang, g_source, max(n) AS n, {wide} FROM t GROUP BY g_lang, g_source),
+p AS (SELECT g_lang, g_source, max(n)::DOUBLE AS n, {wide} FROM t GROUP BY g_lang, g_source),
 l AS (SELECT o.g_lang, o.g_source, {chosen} FROM p o
       JOIN p w ON w.g_lang = o.g_lang AND w.g_source = '*' JOIN p a ON a.g_lang = '*' AND a.g_source = '*'
       WHERE o.g_lang <> '*' AND o.g_source <> '*'),
