@@ -2,32 +2,33 @@
 
 A merge-type model joins adjacent symbols, best score first, leftmost on ties.
 With dropout every candidate merge that comes up is skipped with probability
-``dropout``, decided by a keyed hash of the seed, the word, the variant and the
-candidate's place in the word, so a run can be repeated exactly. Every choice
+``dropout``, decided by a keyed hash of the seed, the document, the number of
+the word in it and the candidate's place in the word, so each occurrence of a
+word has draws of its own and a run can be repeated exactly. Every choice
 spells the same characters, so decoding gives the text back whatever was
 skipped; characters that the vocabulary lacks are spelt as bytes.
 
 Pieces never cross from one word into the next, so words are segmented one by
-one and kept. Each occurrence of a word takes one of ``variants`` draws, chosen
-by a hash of the document and the occurrence's number.
+one. The segmentation without dropout is kept per word, with the merges it
+takes. An occurrence that skips none of those comes to the same result: merges
+that are never taken can be skipped without effect. Only the others are
+segmented anew.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
-VARIANTS = 4
 
 SPACE = "▁"
 _LITERAL = "\udc00"  # stands for a SPACE character of the text itself; no valid text holds it
@@ -79,9 +80,6 @@ class Codec:
     vocabulary: Vocabulary
     dropout: float = DROPOUT
     seed: int = SEED
-    variants: int = VARIANTS
-    young: list[dict[str, bytes]] = field(default_factory=list)
-    old: list[dict[str, bytes]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -111,8 +109,13 @@ class Codec:
         self.crowded[slot[held]] = True
         self.spell = self._spelling()
         self.limit = int(self.dropout * 2.0**64) if self.dropout < 1 else _M
-        self.young = [{} for _ in range(self.variants)]
-        self.old = [{} for _ in range(self.variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start afresh with no word known."""
+        self.number: dict[str, int] = {}
+        self.known: list[bytes] = []
+        self.first, self.taken = np.zeros(1, np.int64), np.zeros(0, np.uint64)
 
     def _spelling(self) -> list[bytes]:
         v = self.vocabulary
@@ -138,20 +141,22 @@ class Codec:
             out[lost] = np.where(self.pair_keys[i] == keys[lost], self.pair_ids[i], -1)
         return out
 
-    def _word_key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=(self.seed * 0x9E37 + variant) & _M)
+    def occurrence_keys(self, document: int, n: int) -> np.ndarray:
+        """A key for each of the ``n`` words of a document; ``document`` is a hash of its own."""
+        return _mix(np.uint64((document ^ _mix_int(self.seed & _M)) & _M) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def _spelt(self, symbol: int, char: str) -> list[int]:
         if symbol >= 0:
             return [symbol]
         return [self.vocabulary.byte_id[b] for b in (SPACE if char == _LITERAL else char).encode("utf-8", "surrogatepass")]
 
-    def agenda(self, word: str, variant: int) -> list[int]:
-        """Segmentation of one word by a priority queue; what :meth:`batch` computes, for words of any length."""
+    def agenda(self, word: str, key: int | None) -> tuple[list[int], list[int]]:
+        """Segmentation of one word by a priority queue and the places of the merges taken; without ``key`` none is skipped."""
         ids = [int(self.char_id[ord(c)]) for c in word]
         n = len(word)
         stop, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        key, queue = self._word_key(word, variant), []
+        queue: list[tuple[int, int, int, int, int]] = []
+        taken: list[int] = []
 
         def offer(a: int) -> None:
             b = after[a]
@@ -160,7 +165,7 @@ class Codec:
             made = self.pairs.get((ids[a], ids[b]))
             if made is None:
                 return
-            if self.limit and _mix_int(key ^ _mix_int(a << 42 | b << 21 | stop[b])) < self.limit:
+            if key is not None and _mix_int(key ^ _mix_int((a << 42 | b << 21 | stop[b]) & _M)) < self.limit:
                 return
             heapq.heappush(queue, (int(self.rank[made]), a, b, stop[b], made))
 
@@ -171,6 +176,7 @@ class Codec:
             _, a, b, end, made = heapq.heappop(queue)
             if dead[a] or dead[b] or after[a] != b or stop[b] != end or stop[a] != b:
                 continue
+            taken.append((a << 42 | b << 21 | end) & _M)
             ids[a], stop[a], after[a] = made, end, after[b]
             dead[b] = True
             if after[a] < n:
@@ -178,29 +184,32 @@ class Codec:
             offer(a)
             if before[a] >= 0:
                 offer(before[a])
-        return [x for i in range(n) if not dead[i] for x in self._spelt(ids[i], word[i])]
+        return [x for i in range(n) if not dead[i] for x in self._spelt(ids[i], word[i])], taken
+
+    def batch(self, words: list[str], keys: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Segmentations (int32 little-endian) of many short words at once, what :meth:`agenda` gives for each: a round takes the best merge of every word.
 
-    def batch(self, words: list[str], variants: list[int]) -> list[bytes]:
-        """Segmentations (int32 little-endian) of many short words at once: each round merges the best candidate of every word."""
+        Also the places of the merges taken, in the order of the words, and where each word's begin.
+        """
         text = "".join(words)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.array([len(w) for w in words], np.int64)
-        key = np.array([self._word_key(w, v) for w, v in zip(words, variants)], np.uint64)
         first = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(words)), size)
         start = np.arange(len(points)) - first[owner]
         stop, ids = start + 1, self.char_id[points].astype(np.int64)
         done_owner, done_ids, done_at = [], [], []
+        took_owner, took = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         limit = np.uint64(self.limit)
         while len(owner):
             near = np.flatnonzero((owner[:-1] == owner[1:]) & (ids[:-1] >= 0) & (ids[1:] >= 0))
             made = self._merged(ids[near], ids[near + 1])
             good = made >= 0
             near, made = near[good], made[good]
-            if self.limit and len(near):
-                place = (start[near].astype(np.uint64) << np.uint64(42)) | (start[near + 1].astype(np.uint64) << np.uint64(21)) | stop[near + 1].astype(np.uint64)
-                kept = _mix(key[owner[near]] ^ _mix(place)) >= limit
-                near, made = near[kept], made[kept]
+            place = (start[near].astype(np.uint64) << np.uint64(42)) | (start[near + 1].astype(np.uint64) << np.uint64(21)) | stop[near + 1].astype(np.uint64)
+            if keys is not None and len(near):
+                kept = _mix(keys[owner[near]] ^ _mix(place)) >= limit
+                near, made, place = near[kept], made[kept], place[kept]
             cost, whose = self.rank[made] << 21 | start[near], owner[near]
             first_of = np.flatnonzero(np.diff(whose, prepend=-1))
             live = np.zeros(len(owner), bool)
@@ -216,11 +225,14 @@ class Codec:
                 done_ids.append(ids[~live])
                 done_at.append(start[~live])
             at = near[pick]
+            if keys is None:
+                took_owner.append(owner[at])
+                took.append(place[pick])
             ids[at], stop[at] = made[pick], stop[at + 1]
             live[at + 1] = False
             owner, ids, start, stop = owner[live], ids[live], start[live], stop[live]
         o, i, s = np.concatenate(done_owner), np.concatenate(done_ids), np.concatenate(done_at)
-        order = np.lexsort((s, o))
+        order = np.argsort(o << 21 | s, kind="stable")
         o, i, s = o[order], i[order], s[order]
         ends = np.searchsorted(o, np.arange(len(words) + 1))
         spelt = i.astype(np.int32).tobytes()
@@ -228,7 +240,9 @@ class Codec:
         out = [spelt[a:b] for a, b in zip(ends, ends[1:])]
         for w in np.unique(o[i < 0]).tolist():
             out[w] = np.array([x for j in range(ends[w] // 4, ends[w + 1] // 4) for x in self._spelt(int(i[j]), words[w][s[j]])], np.int32).tobytes()
-        return out
+        whose = np.concatenate(took_owner)
+        order = np.argsort(whose, kind="stable")
+        return out, np.concatenate(took)[order], np.searchsorted(whose[order], np.arange(len(words) + 1))
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -247,19 +261,23 @@ class Codec:
                 run += 1
         return out
 
-    def _store(self, missing: dict[tuple[int, str], None]) -> None:
-        short = [(v, w) for v, w in missing if len(w) <= _LONG_WORD]
-        made = self.batch([SPACE + w for _, w in short], [v for v, _ in short]) if short else []
-        if sum(map(len, self.young)) + len(missing) > _CACHE_WORDS:
-            self.old, self.young = self.young, [{} for _ in range(self.variants)]
-        for (v, w), ids in zip(short, made):
-            self.young[v][w] = ids
-        for v, w in missing:
-            if len(w) > _LONG_WORD:
-                self.young[v][w] = np.array(self.agenda(SPACE + w, v), np.int32).tobytes()
+    def _learn(self, missing: list[str]) -> None:
+        """Keep the segmentations of ``missing`` without dropout, with the merges they take."""
+        if len(self.known) + len(missing) > _CACHE_WORDS:
+            self._forget()
+        short = [w for w in missing if len(w) <= _LONG_WORD]
+        long = [w for w in missing if len(w) > _LONG_WORD]
+        made, taken, ends = self.batch([SPACE + w for w in short], None) if short else ([], np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        slow = [self.agenda(SPACE + w, None) for w in long]
+        self.known += made + [np.array(ids, np.int32).tobytes() for ids, _ in slow]
+        for w in short + long:
+            self.number[w] = len(self.number)
+        counts = np.concatenate([np.diff(ends), np.array([len(t) for _, t in slow], np.int64)])
+        self.taken = np.concatenate([self.taken, taken, *[np.array(t, np.uint64) for _, t in slow]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Piece ids of each text as int32 bytes; ``keys`` tell documents apart in the choice of variants."""
+        """Piece ids of each text as int32 bytes; ``keys`` are hashes that tell documents apart."""
         out: list[bytes] = []
         at = 0
         while at < len(texts):
@@ -272,34 +290,37 @@ class Codec:
         return out
 
     def _chunk(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        docs: list[tuple[list[str], list[int], list[int]]] = []
-        hits: list[list[bytes | None]] = []
-        missing: dict[tuple[int, str], None] = {}
-        for text, key in zip(texts, keys):
-            words = self.units(text) if text else []
-            draw = (_mix(np.uint64(key & _M) + np.arange(1, len(words) + 1, dtype=np.uint64)) % np.uint64(self.variants)).tolist() if self.limit else [0] * len(words)
-            young = self.young
-            found: list[bytes | None] = [young[v].get(w) for v, w in zip(draw, words)]
-            lack: list[int] = []
-            if None in found:
-                for i, x in enumerate(found):
-                    if x is None:
-                        v, w = draw[i], words[i]
-                        kept = self.old[v].get(w)
-                        if kept is None:
-                            missing[v, w] = None
-                            lack.append(i)
-                        else:
-                            found[i] = young[v][w] = kept
-            docs.append((words, draw, lack))
-            hits.append(found)
+        docs = [self.units(t) if t else [] for t in texts]
+        words = [w for d in docs for w in d]
+        number = self.number
+        missing = [w for w in dict.fromkeys(words) if w not in number]
         if missing:
-            self._store(missing)
-        out = []
-        for (words, draw, lack), found in zip(docs, hits):
-            for i in lack:
-                found[i] = self.young[draw[i]][words[i]]
-            out.append(b"".join(found))  # type: ignore[arg-type]
+            if len(number) + len(missing) > _CACHE_WORDS:
+                missing = list(dict.fromkeys(words))  # all others are forgotten
+            self._learn(missing)
+            number = self.number
+        at = [number[w] for w in words]
+        known = self.known
+        parts = [known[i] for i in at]
+        if self.limit and words:
+            own = np.concatenate([self.occurrence_keys(k & _M, len(d)) for k, d in zip(keys, docs)])
+            which = np.array(at, np.int64)
+            begin, count = self.first[which], self.first[which + 1] - self.first[which]
+            whose = np.repeat(np.arange(len(words)), count)
+            place = self.taken[np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
+            skipped = _mix(own[whose] ^ _mix(place)) < np.uint64(self.limit)
+            again = np.unique(whose[skipped])
+            short = [i for i in again.tolist() if len(words[i]) <= _LONG_WORD]
+            if short:
+                for i, ids in zip(short, self.batch([SPACE + words[i] for i in short], own[short])[0]):
+                    parts[i] = ids
+            for i in again.tolist():
+                if len(words[i]) > _LONG_WORD:
+                    parts[i] = np.array(self.agenda(SPACE + words[i], int(own[i]))[0], np.int32).tobytes()
+        out, at = [], 0
+        for d in docs:
+            out.append(b"".join(parts[at : at + len(d)]))
+            at += len(d)
         return out
 
     def decode(self, ids: bytes | np.ndarray | list[int]) -> str:
@@ -308,18 +329,18 @@ class Codec:
         return b"".join([spell[i] for i in numbers]).decode("utf-8", "surrogatepass")[1:]
 
 
-_CODECS: dict[tuple[int, float, int, int], Codec] = {}
+_CODECS: dict[tuple[int, float, int], Codec] = {}
 
 
-def _codec(vocabulary: Vocabulary, dropout: float, seed: int, variants: int) -> Codec:
-    key = (hash(tuple(vocabulary.pieces)), dropout, seed, variants)
+def _codec(vocabulary: Vocabulary, dropout: float, seed: int) -> Codec:
+    key = (hash(tuple(vocabulary.pieces)), dropout, seed)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary, dropout, seed, variants)
+        _CODECS[key] = Codec(vocabulary, dropout, seed)
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per document: ``doc_id``, ``ids``, ``n_pieces`` and ``lossless`` (decoding ``ids`` gave the text back).
 
     A null text has null ``ids`` and ``lossless`` and no pieces, '' has empty
@@ -333,7 +354,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary.value, dropout, seed, variants)
+        codec = _codec(vocabulary.value, dropout, seed)
         for batch in it:
             texts, keys = batch.column("text").to_pylist(), batch.column("key").to_pylist()
             made = codec.encode([t or "" for t in texts], keys)
@@ -344,17 +365,22 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
             right = [None if t is None else codec.decode(m) == t for t, m in zip(texts, made)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array(sizes, pa.int32()), pa.array(right, pa.bool_())], ["doc", "ids", "n_pieces", "lossless"])
 
-    keyed = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("key"))
+    keyed = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("key"))
     return keyed.mapInArrow(batches, f"doc {kind}, ids array<int>, n_pieces int, lossless boolean").withColumnRenamed("doc", doc_id)
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """``doc_id`` and ``text`` from piece ids; null ids give null, empty ones ''."""
+    """``doc_id`` and ``text`` from piece ids: the text that was encoded, whatever was skipped.
+
+    Null ids give null, empty ones ''. Rows stay as they are, repeated ones and
+    null ``doc_id`` too; other columns are not read; an empty table gives an
+    empty result.
+    """
     vocabulary = encoded.sparkSession.sparkContext.broadcast(load(model))
     kind = encoded.schema[doc_id].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary.value, 0.0, 0, 1)
+        codec = _codec(vocabulary.value, 0.0, 0)
         for batch in it:
             texts = [None if x is None else codec.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
