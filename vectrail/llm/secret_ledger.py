@@ -1,10 +1,16 @@
 """Incremental secret scanning over content-addressed versions.
 
 Every version of every document is addressed by the SHA-256 of its text. A
-ledger in the shared folder remembers which (blob, rule, rule version) were
-scanned and what was found. A run scans the pairs that the ledger lacks, once
-per blob however many paths hold it, appends to the ledger, and joins all
-findings back to all paths.
+ledger in the shared folder remembers which versions each path has had, which
+(blob, rule, rule version) were scanned, and what was found. A run records its
+versions, scans the pairs that the ledger lacks, once per blob however many
+paths hold it, appends to the ledger, and joins all findings back to all paths
+that have ever held the blob.
+
+The ledger's tables are kept by generation. Runs append to the newest;
+:func:`compact` writes the next one without repeats, in few files sorted by
+blob, and drops the old. Findings and marks are partitioned by rule and
+version, so a run reads those of its own rules only.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..session import materialise, scratch_path
 
-#: Up to this many unscanned blobs are broadcast (40 bytes each) instead of moving the texts to them.
+#: Up to this many unscanned blobs are broadcast (about 100 bytes each); beyond, texts that hold an anchor are moved to them.
 BROADCAST_BLOBS = 20_000
 
 
@@ -54,18 +60,55 @@ RULES = (
 )
 
 _SCANNED = "blob binary, rule string, version int"
-_FOUND = "blob binary, rule string, version int, fingerprint string, n bigint"
+_FOUND = "blob binary, fingerprint string, n bigint, rule string, version int"
+_TABLES = ("paths", "scanned", "findings")
+_BY_RULE = ("rule", "version")
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _generation(spark: SparkSession, ledger: str, table: str) -> int:
+    """The newest generation that was written to its end; 0 at first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{table}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return 0
+    names = [x.getPath().getName() for x in files.listStatus(folder) if x.isDirectory()]
+    done = [int(n[1:]) for n in names if n[:1] == "g" and n[1:].isdigit() and (n == "g0" or files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{table}/{n}/_SUCCESS")))]
+    return max(done, default=0)
+
+
+def _current_path(spark: SparkSession, ledger: str, table: str) -> str:
+    return f"{ledger}/{table}/g{_generation(spark, ledger, table)}"
+
+
+def _read(spark: SparkSession, ledger: str, table: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(_current_path(spark, ledger, table))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def _append(rows: DataFrame, ledger: str, table: str) -> None:
+    writer = rows.write.mode("append")
+    (writer.partitionBy(*_BY_RULE) if table != "paths" else writer).parquet(_current_path(rows.sparkSession, ledger, table))
+
+
+def compact(spark: SparkSession, ledger: str, files: int = 16) -> None:
+    """Rewrite each table of the ledger without repeated rows in about ``files`` files, as its next generation; no run may append meanwhile."""
+    for table in _TABLES:
+        now = _generation(spark, ledger, table)
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{table}/g{now}")
+        system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(old):
+            continue
+        rows = spark.read.parquet(f"{ledger}/{table}/g{now}").distinct()
+        by = ["blob"] if table == "paths" else [*_BY_RULE, "blob"]
+        writer = rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite")
+        (writer.partitionBy(*_BY_RULE) if table != "paths" else writer).parquet(f"{ledger}/{table}/g{now + 1}")
+        system.delete(old, True)
+
+
 def _blob(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
@@ -92,81 +135,101 @@ def _current(table: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return table.where(same)
 
 
-def update(texts: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan what ``ledger`` lacks of ``texts`` (columns path, text) and append to it; gives (path, blob), null texts left out.
+def update(texts: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
+    """Record the versions in ``texts`` (columns path, text; null texts are no versions) and scan what ``ledger`` lacks of them.
 
     Findings are written before the marks that they are complete: a run that
-    dies between the two is repeated, and reading the ledger drops repeats.
+    dies between the two is repeated, and reading the ledger drops repeats. A
+    text without any anchor of a rule has nothing to find, so of the unscanned
+    blobs only those with an anchor are matched, each once.
     """
     spark = texts.sparkSession
-    paths = materialise(texts.where(F.col("text").isNotNull()).select("path", _blob(F.col("text")).alias("blob")), "paths")
-    done = _current(_read(spark, f"{ledger}/scanned", _SCANNED), rules).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    kind = texts.schema["path"].dataType.simpleString()
+    here = texts.where(F.col("text").isNotNull()).select("path", "text", _blob(F.col("text")).alias("blob"))
+    paths = materialise(here.select("path", "blob").distinct(), "paths")
+    known = _read(spark, ledger, "paths", f"path {kind}, blob binary").select(F.col("path").alias("k_path"), F.col("blob").alias("k_blob"))
+    _append(paths.join(known, (F.col("blob") == F.col("k_blob")) & F.col("path").eqNullSafe(F.col("k_path")), "left_anti"), ledger, "paths")
+    done = _current(_read(spark, ledger, "scanned", _SCANNED), rules).groupBy("blob").agg(F.collect_set("rule").alias("done"))
     names = F.array(*[F.lit(r.name) for r in rules])
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("first"))
-    todo = blobs.join(done, "blob", "left").select("blob", "first", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
-    todo = materialise(todo.where(F.size("todo") > 0), "unscanned")
+    left = F.array_except(names, F.coalesce("done", F.array().cast("array<string>")))
+    todo = paths.select("blob").distinct().join(done, "blob", "left").select("blob", left.alias("todo")).where(F.size("todo") > 0)
+    todo = materialise(todo, "unscanned")
     n = todo.count()
     if not n:
-        return paths
-    wanted = todo.select(F.col("blob").alias("__b"), F.col("first").alias("__p"), "todo")
-    wanted = F.broadcast(wanted) if n <= BROADCAST_BLOBS else wanted.hint("shuffle_hash")
-    here = texts.where(F.col("text").isNotNull()).select("path", "text", _blob(F.col("text")).alias("blob"))
-    held = here.join(wanted, (F.col("blob") == F.col("__b")) & F.col("path").eqNullSafe(F.col("__p")))
-    hits = [_hits(r) for r in rules]
-    each = held.select("blob", F.explode(F.concat(*hits)).alias("x")).select("blob", "x.*")
-    # the same row twice in the table is scanned twice, so occurrences are counted per row and then taken once
-    found = each.groupBy("blob", "rule", "version", F.sha2("secret", 256).substr(1, 16).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
-    copies = materialise(paths.groupBy("blob", "path").count().where("count > 1"), "copies").join(todo, ["blob"]).where(F.col("path").eqNullSafe(F.col("first"))).select("blob", F.col("count").alias("copies"))
-    found.join(copies, "blob", "left").select("blob", "rule", "version", "fingerprint", (F.col("n") / F.coalesce("copies", F.lit(1))).cast("bigint").alias("n")).write.mode("append").parquet(f"{ledger}/findings")
+        return
+    anchored = F.lit(False)
+    for r in rules:
+        anchored = anchored | _anchored(F.col("text"), r)
+    if n <= BROADCAST_BLOBS:
+        held = here.select("blob", "text").join(F.broadcast(todo), "blob").where(anchored).dropDuplicates(["blob"])
+    else:
+        held = here.where(anchored).select("blob", "text").dropDuplicates(["blob"]).join(todo.hint("shuffle_hash"), "blob")
+    each = held.select("blob", F.explode(F.concat(*[_hits(r) for r in rules])).alias("x")).select("blob", "x.*")
+    found = each.groupBy("blob", F.sha2("secret", 256).substr(1, 16).alias("fingerprint"), *_BY_RULE).agg(F.count(F.lit(1)).alias("n"))
+    _append(found.select("blob", "fingerprint", "n", *_BY_RULE), ledger, "findings")
     versions = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
-    todo.select("blob", F.explode("todo").alias("rule")).select("blob", "rule", versions[F.col("rule")].alias("version")).write.mode("append").parquet(f"{ledger}/scanned")
-    return paths
+    _append(todo.select("blob", F.explode("todo").alias("rule")).select("blob", "rule", versions[F.col("rule")].alias("version")), ledger, "scanned")
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    return _current(_read(spark, f"{ledger}/findings", _FOUND), rules).distinct()
+    return _current(_read(spark, ledger, "findings", _FOUND), rules).distinct()
 
 
 def scan(docs: DataFrame, ledger: str | None = None, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per path, rule and distinct secret: ``doc_id``, ``blob`` (hex), ``rule``, ``fingerprint`` (of the secret), ``n`` occurrences.
-
-    Without ``ledger`` a new one is made in the shared folder. A null text has
-    no blob and no findings; '' has a blob without findings. Texts are scanned
-    whole. Paths that share a text get the same findings; a row repeated in the
-    table is one path and appears once; a null id is a path of its own. Extra
-    columns are not read; an empty table gives an empty result.
+    """One row per path, version, rule and distinct secret: ``doc_id``, ``blob`` (hex), ``rule``, ``fingerprint`` (of the secret), ``n`` occurrences.
+
+    All versions that ``ledger`` has recorded count, so a secret that a path
+    held once is reported for it ever after. Without ``ledger`` a new one is
+    made in the shared folder. A null text has no blob and no findings; '' has
+    a blob without findings. Texts are scanned whole. Paths that share a text
+    get the same findings; a row repeated in the table is one path and appears
+    once; a null id is a path of its own. Extra columns are not read, whatever
+    their names; an empty table adds nothing.
     """
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
-    paths = update(docs.select(F.col(doc_id).alias("path"), F.col(text).alias("text")), ledger, rules)
-    found = findings(spark, ledger, rules)
-    joined = paths.distinct().join(found, "blob")
+    update(docs.select(F.col(doc_id).alias("path"), F.col(text).alias("text")), ledger, rules)
+    paths = _read(spark, ledger, "paths", f"path {docs.schema[doc_id].dataType.simpleString()}, blob binary").distinct()
+    joined = paths.join(findings(spark, ledger, rules), "blob")
     return joined.select(F.col("path").alias(doc_id), F.lower(F.hex("blob")).alias("blob"), "rule", "fingerprint", "n")
 
 
+def scan_history(docs: DataFrame, parts: int = 2, ledger: str | None = None, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """:func:`scan` of a table that arrives in ``parts`` runs over one ledger: rows are dealt by a hash of their id, and each run scans only what is new."""
+    ledger = ledger or scratch_path(docs.sparkSession, "ledger")
+    dealt = F.pmod(F.xxhash64(doc_id), F.lit(parts))
+    for i in range(parts - 1):
+        update(docs.where(dealt == i).select(F.col(doc_id).alias("path"), F.col(text).alias("text")), ledger, rules)
+    return scan(docs.where(dealt == parts - 1), ledger, doc_id, text, rules)
+
+
 def redact(docs: DataFrame, ledger: str | None = None, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret found replaced by ``[rule]`` and ``length``, where present, made to fit; no row goes.
 
     The ledger decides which rules a text is rewritten by, so clean texts are
-    left as they are. Null texts stay null.
+    left as they are. Null texts stay null, '' stays ''; very long texts are
+    rewritten whole; repeated rows and null ids are rewritten like others; all
+    other columns stay as they are, whatever their names. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
     update(docs.select(F.col(doc_id).alias("path"), F.col(text).alias("text")), ledger, rules)
-    hit = materialise(findings(spark, ledger, rules).groupBy(F.col("blob").alias("__blob")).agg(F.collect_set("rule").alias("__rules")), "secret-blobs")
-    joined = docs.withColumn("__b", _blob(F.col(text))).join(hit, F.col("__b") == F.col("__blob"), "left")
-    clean = F.col(text)
+    hit = materialise(findings(spark, ledger, rules).groupBy("blob").agg(F.collect_set("rule").alias("found")), "secret-blobs")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), _blob(F.col(text)).alias("blob"))
+    joined = rows.join(hit.withColumnRenamed("blob", "h_blob"), F.col("blob") == F.col("h_blob"), "left")
+    clean = F.col("text")
     for r in rules:
         # a pattern that matches nothing keeps this a chain, where a branch per rule would double it each time
-        pattern = F.when(F.array_contains("__rules", r.name), F.lit(r.pattern)).otherwise(F.lit("(?!)"))
+        pattern = F.when(F.array_contains("found", r.name), F.lit(r.pattern)).otherwise(F.lit("(?!)"))
         clean = F.regexp_replace(clean, pattern, F.lit(f"[{r.name}]"))
-    dirty = F.col("__rules").isNotNull()
+    dirty = F.col("found").isNotNull()
+    safe = joined.select("row", "found", F.when(dirty, clean).alias("clean"))
     kind = dict(docs.dtypes)
-    changed = {text: F.when(dirty, F.col("__clean")).otherwise(F.col(text))}
-    if length in kind:
-        changed[length] = F.when(dirty, F.char_length("__clean").cast(kind[length])).otherwise(F.col(length))
-    safe = joined.withColumn("__clean", F.when(dirty, clean))
-    return safe.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    changed = {text: F.when(dirty, F.col("clean")).otherwise(F.col("row")[text])}
+    if length in kind and length != text:
+        changed[length] = F.when(dirty, F.char_length("clean").cast(kind[length])).otherwise(F.col("row")[length])
+    return safe.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def scan_sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
