@@ -4,7 +4,11 @@ The search takes the largest unpacked document, enumerates the undominated sets
 of others that fill its sequence, fullest first, and branches over them. A
 branch ends when the space it has wasted exceeds what any better solution may
 waste. The incumbent at the start is the best-fit-decreasing packing; whatever
-better packing the search meets replaces it.
+better packing the search meets replaces it. The one limit is ``node_budget``,
+the number of sets looked at in a group.
+
+Groups are packed independently, then the emptiest sequence of each is packed
+again together with those of the others, until one group is left.
 """
 
 from __future__ import annotations
@@ -12,17 +16,18 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 CAPACITY = 2048
 GROUP_SIZE = 512
 NODE_BUDGET = 2000
-_BRANCHES = 24
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -61,56 +66,77 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return best
 
 
-def _undominated(chosen: tuple[int, ...], room: int, left: list[int]) -> bool:
-    """False if swapping one or two chosen documents for one that is left would fill the room better."""
-    slack = room - sum(chosen)
-    if not slack:
-        return True
-    ascending = left
-    for size in (1, 2):
-        for part in combinations(chosen, size):
-            s = sum(part)
-            at = bisect_left(ascending, s + (size == 1))
-            if at < len(ascending) and ascending[at] <= s + slack:
-                return False
+def _sums(chosen: tuple[int, ...]) -> tuple[int, int]:
+    """The sums of single elements, and of sets of two and more, as bits."""
+    one, more = 0, 0
+    for x in chosen:
+        more |= (one | more) << x
+        one |= 1 << x
+    return one, more
+
+
+def _undominated(chosen: tuple[int, ...], slack: int, left: list[int]) -> bool:
+    """False if one document that is left can take the place of some chosen ones and fill at least as much.
+
+    Any packing that uses ``chosen`` stays valid when the two are exchanged, so
+    the set with the larger document in their place is at least as good.
+    """
+    one, more = _sums(chosen)
+    for x in left:
+        low = max(0, x - slack)
+        width = x - low
+        if (more >> low) & ((1 << width + 1) - 1) or (one >> low) & ((1 << width) - 1):
+            return False
     return True
 
 
-def _fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated maximal fillings of ``room`` from a multiset, fullest first; ``sizes`` descending and distinct."""
-    found: list[tuple[int, ...]] = []
-    steps = 0
+def _fillings(sizes: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated fillings of ``room`` from a multiset, fullest first; None for each one that is dominated. ``sizes``: descending, distinct.
+
+    ``reach[i]`` has a bit for each sum that the sizes from the i-th on can
+    make, so sets of a given sum are enumerated without a dead end.
+    """
+    sizes = [x for x in sizes if x <= room]
+    reach = [1] * (len(sizes) + 1)
+    limit = (1 << room + 1) - 1
+    for i in range(len(sizes) - 1, -1, -1):
+        x, most, sums, took = sizes[i], min(counts[sizes[i]], room // sizes[i]), reach[i + 1], 1
+        while most:  # a count in powers of two
+            took = min(took, most)
+            sums |= (sums << took * x) & limit
+            most -= took
+            took *= 2
+        reach[i] = sums
 
-    def extend(at: int, space: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if len(found) >= most or steps > 40 * most:
-            return
-        at = max(at, bisect_left(sizes, -space, key=lambda x: -x))
-        if at >= len(sizes):
+    def of(total: int) -> Iterator[tuple[int, ...]]:
+        stack = [(0, total, ())]
+        while stack:
+            at, rest, chosen = stack.pop()
+            if not rest:
+                yield chosen
+                continue
+            while not sizes[at] <= rest:
+                at += 1
+            x = sizes[at]
+            for k in range(min(counts[x], rest // x) + 1):  # the last pushed, with most of the larger, is next
+                if (reach[at + 1] >> (rest - k * x)) & 1:
+                    stack.append((at + 1, rest - k * x, chosen + (x,) * k))
+
+    sums = reach[0]
+    while sums:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        slack = room - total
+        for chosen in of(total):
             used: dict[int, int] = {}
             for x in chosen:
                 used[x] = used.get(x, 0) + 1
-            if any(x <= space and counts[x] > used.get(x, 0) for x in (sizes[-1],)):
-                return  # not maximal
-            left = [x for x in reversed(sizes) if counts[x] > used.get(x, 0)]
-            if _undominated(chosen, room, left):
-                found.append(chosen)
-            return
-        x = sizes[at]
-        fit = min(counts[x], space // x)
-        for k in range(fit, -1, -1):
-            extend(at + 1, space - k * x, chosen + (x,) * k)
-            if space - k * x == 0 and k == fit and len(found) >= 1:
-                break  # exact
-
-    extend(0, room, ())
-    found.sort(key=lambda c: (-sum(c), len(c)))
-    return found or [()]
+            left = [x for x in sizes if counts[x] > used.get(x, 0)]
+            yield chosen if (not left or left[-1] > slack) and _undominated(chosen, slack, left) else None
 
 
 def complete(lengths: list[int], capacity: int, node_budget: int = NODE_BUDGET) -> list[list[int]]:
-    """Bins of indices into ``lengths`` (each 1..capacity): the best packing found within ``node_budget`` branchings."""
+    """Bins of indices into ``lengths`` (each 1..capacity): the best packing found while looking at ``node_budget`` fillings."""
     incumbent = best_fit(lengths, capacity)
     bound = lower_bound(lengths, capacity)
     if len(incumbent) <= bound:
@@ -124,20 +150,21 @@ def complete(lengths: list[int], capacity: int, node_budget: int = NODE_BUDGET)
     path: list[tuple[int, ...]] = []
     waste, nodes = 0, 0
 
-    def options() -> Iterator[tuple[int, ...]]:
-        sizes = sorted((x for x, n in counts.items() if n), reverse=True)
-        largest = sizes[0]
-        counts[largest] -= 1
-        if not counts[largest]:
-            sizes = sizes[1:]
-        made = [(largest, *f) for f in _fillings(sizes, counts, capacity - largest, _BRANCHES)]
-        counts[largest] += 1
-        return iter(made)
+    def options() -> Iterator[tuple[int, ...] | None]:
+        left = {x: n for x, n in counts.items() if n}
+        largest = max(left)
+        left[largest] -= 1
+        sizes = sorted((x for x, n in left.items() if n), reverse=True)
+        for f in _fillings(sizes, left, capacity - largest):
+            yield None if f is None else (largest, *f)
 
     stack = [options()]
     while stack:
-        filling = next(stack[-1], None)
-        if filling is None or nodes >= node_budget:
+        filling = next(stack[-1], ()) if nodes < node_budget else ()
+        if filling is None:
+            nodes += 1
+            continue
+        if not filling:
             stack.pop()
             if path:
                 done = path.pop()
@@ -148,6 +175,7 @@ def complete(lengths: list[int], capacity: int, node_budget: int = NODE_BUDGET)
         nodes += 1
         lost = capacity - sum(filling)
         if waste + lost > (most_bins - 1) * capacity - total:
+            stack[-1] = iter(())  # those that follow are emptier
             continue
         for x in filling:
             counts[x] -= 1
@@ -180,30 +208,36 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(flat, " "), ""))
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int, group_size: int, node_budget: int) -> pd.DataFrame:
-    # the order makes the result a function of the rows alone
-    pdf = pdf.sort_values(["n", "doc", "tie"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
+_OUT = "piece bigint, from_word bigint, n_words bigint, bin_id bigint, tie bigint, loose boolean"
+
+
+def _cut(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Documents (doc, n, tie, grp) in pieces of ``capacity`` words and a remainder."""
     n = pdf["n"].to_numpy(np.int64)
-    full, rest = n // capacity, n % capacity
-    pieces = full + (rest > 0)
+    pieces = n // capacity + (n % capacity > 0)
     row = np.repeat(np.arange(len(n)), pieces)
     piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    size = np.where(piece < full[row], capacity, rest[row])
-    bins = np.full(len(row), -1, np.int64)
-    whole = size == capacity
-    bins[whole] = np.arange(whole.sum())
-    used = int(whole.sum())
-    items = np.flatnonzero(~whole)
+    return pdf[["doc", "tie", "grp"]].iloc[row].assign(piece=piece, from_word=piece * capacity, n_words=np.minimum(capacity, n[row] - piece * capacity))
+
+
+def _pack_group(pdf: pd.DataFrame, capacity: int, group_size: int, node_budget: int) -> pd.DataFrame:
+    """Pieces (doc, tie, grp, piece, from_word, n_words) with their bins, and whether theirs is the group's emptiest."""
+    # the order makes the result a function of the rows alone
+    pdf = pdf.sort_values(["n_words", "doc", "tie", "piece"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
+    size = pdf["n_words"].to_numpy(np.int64)
+    bins, used = np.arange(len(size)), int((size == capacity).sum())
+    items = np.arange(used, len(size))
     parts = max(1, round(len(items) / group_size))  # a group made larger by rows of one id is dealt out
     for p in range(parts):
         at = items[p::parts]
-        packed = complete([int(x) for x in size[at]], capacity, node_budget)
+        packed = complete(size[at].tolist(), capacity, node_budget)
         for b, members in enumerate(packed):
             bins[at[members]] = used + b
         used += len(packed)
+    fill = np.bincount(bins, weights=size)
+    loose = (bins == int(fill.argmin())) & (fill.min() < capacity)
     base = np.int64(pdf["grp"].iloc[0]) << np.int64(32)
-    out = pd.DataFrame({"doc": pdf["doc"].to_numpy()[row], "piece": piece, "from_word": piece * capacity, "n_words": size, "bin_id": base + bins})
-    return out.astype({"doc": pdf["doc"].dtype})
+    return pdf[["doc", "piece", "from_word", "n_words"]].assign(bin_id=base + bins, tie=pdf["tie"], loose=loose)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_size: int = GROUP_SIZE, node_budget: int = NODE_BUDGET) -> DataFrame:
@@ -212,20 +246,30 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     A document longer than ``capacity`` is cut into pieces that fill bins of
     their own and a remainder that is packed like any document. Documents are
     spread over groups of about ``group_size`` by a hash of their id, each
-    packed alone, so the result doesn't depend on how rows are partitioned.
+    packed alone, and the emptiest bin of each group is packed again with those
+    of others; so the result doesn't depend on how rows are partitioned.
     Documents without words, null texts among them, need no space and give no
     row. Repeated rows are packed each; a null id is an id. Ties in length are
-    broken by id and then text. Extra columns are not read; an empty table
-    gives an empty result.
+    broken by id and then text. Extra columns are not read, whatever their
+    names; an empty table gives an empty result.
     """
+    schema = f"doc {docs.schema[doc_id].dataType.simpleString()}, {_OUT}"
+    rows = docs.select(F.col(doc_id).alias("doc"), word_count(F.col(text)).alias("n"), F.xxhash64(F.col(text)).alias("tie")).where(F.col("n") > 0)
     groups = max(1, math.ceil(docs.count() / group_size))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(
-        F.col(doc_id).alias("doc"), word_count(F.col(text)).alias("n"), F.xxhash64(F.col(text)).alias("tie"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(groups)).alias("grp")
-    ).where(F.col("n") > 0)
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc"), F.lit(groups)))
+    columns, done, base = ["doc", "piece", "from_word", "n_words", "bin_id"], [], 0
+    while True:
+        first = not base
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_group(pdf, capacity, group_size, node_budget)
+        def one(pdf: pd.DataFrame, first: bool = first) -> pd.DataFrame:
+            return _pack_group(_cut(pdf, capacity) if first else pdf, capacity, group_size, node_budget)
 
-    packed = rows.groupBy("grp").applyInPandas(one, f"doc {kind}, piece bigint, from_word bigint, n_words bigint, bin_id bigint")
-    return packed.withColumnRenamed("doc", doc_id)
+        packed = materialise(dealt.groupBy("grp").applyInPandas(one, schema), "packed")
+        if groups == 1:
+            break
+        done.append(packed.where("not loose").select(columns))
+        base += groups
+        loose = packed.where("loose")
+        groups = max(1, math.ceil(loose.count() / group_size))
+        dealt = loose.select("doc", "tie", "piece", "from_word", "n_words", (F.pmod(F.xxhash64("doc", "tie", "piece"), F.lit(groups)) + base).alias("grp"))
+    return reduce(DataFrame.unionByName, done, packed.select(columns)).withColumnRenamed("doc", doc_id)
