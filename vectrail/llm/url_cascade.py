@@ -46,7 +46,11 @@ def canonical_key_sql(url: str) -> str:
 
 
 def blocked_host(key: Column, terms: tuple[str, ...] = BLOCKED_HOST_TERMS) -> Column:
-    return F.regexp_extract(key, "^([^/?]*)", 1).rlike("|".join(terms))
+    """Whether the host holds one of ``terms``, taken literally; with no terms, none does."""
+    host, found = F.regexp_extract(key, "^([^/?]*)", 1), F.lit(False)
+    for t in terms:
+        found = found | F.contains(host, F.lit(t))
+    return found
 
 
 def hashes(key: Column) -> list[Column]:
@@ -183,8 +187,8 @@ def flag_listed(pages: DataFrame, page_id: str = "page_id", url: str = "url", te
     """One row per page: ``page_id``, ``url_key`` and ``listed``.
 
     The list is ``listed`` (a column ``url``), or else the keys of the corpus
-    whose host holds one of ``terms``. Listed keys that the corpus lacks cost
-    nothing. A null URL has a null key and is not listed; '' is a key like any
+    whose host holds one of ``terms``, literally; without terms nothing is
+    listed. Listed keys that the corpus lacks cost nothing. A null URL has a null key and is not listed; '' is a key like any
     other. Pages with equal keys get equal flags; repeated rows are all
     returned. Long URLs are hashed whole. Extra columns are not read, and an
     empty table or list works: the result is empty, or nothing is listed.
@@ -206,6 +210,6 @@ def flag_listed(pages: DataFrame, page_id: str = "page_id", url: str = "url", te
 def flag_listed_sql(terms: tuple[str, ...] = BLOCKED_HOST_TERMS) -> str:
     """DuckDB SQL for the rows of :func:`flag_listed`."""
     key = canonical_key_sql("url")
-    return f"""SELECT page_id, url_key,
-       coalesce(regexp_matches(regexp_extract(url_key, '^([^/?]*)', 1), '{"|".join(terms)}'), false) AS listed
-FROM (SELECT page_id, {key} AS url_key FROM pages)"""
+    quoted = [t.replace("'", "''") for t in terms]
+    held = " OR ".join(f"contains(regexp_extract(url_key, '^([^/?]*)', 1), '{t}')" for t in quoted) or "false"
+    return f"SELECT page_id, url_key, coalesce({held}, false) AS listed FROM (SELECT page_id, {key} AS url_key FROM pages)"
