@@ -70,11 +70,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables that :func:`materialise` wrote, once nothing that is yet to be evaluated reads them; others are left alone."""
+    """Remove tables that :func:`materialise` wrote, once nothing that is yet to be evaluated reads them; others are left alone.
+
+    The driver's JVM is asked to collect what the jobs that wrote them left
+    behind: Spark removes the shuffle files of a plan only when that is gone.
+    """
     for table in tables:
         path = getattr(table, "__dict__", {}).get("_scratch")
         if path in _MADE:
-            _remove(_MADE.pop(path), path)
+            spark = _MADE.pop(path)
+            _remove(spark, path)
+            spark._jvm.System.gc()
 
 
 @atexit.register
