@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MADE: dict[str, SparkSession] = {}
+#: Least time between two collections that :func:`release` asks for.
+COLLECT_SECONDS = 8.0
+_collected = [0.0]
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -80,7 +84,9 @@ def release(*tables: DataFrame) -> None:
         if path in _MADE:
             spark = _MADE.pop(path)
             _remove(spark, path)
-            spark._jvm.System.gc()
+            if time.monotonic() - _collected[0] > COLLECT_SECONDS:
+                _collected[0] = time.monotonic()
+                spark._jvm.System.gc()
 
 
 @atexit.register
