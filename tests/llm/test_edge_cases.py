@@ -7,7 +7,9 @@ import pytest
 import corpus_pipeline
 from vectrail.llm import ann_tree, hash_tree, html_extract, near_dup, packing, piece_codec, quality_qda, quality_rules, secret_ledger, url_cascade
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, words string, bucket int, id string, h string, size int, key string, blob string, rule string, cut string, b string, n int, doc string, grp int, x string"
+#: Names that the operators use inside.
+CLASHES = "__h __b __clean __lang __source __cut __l __s __rules __blob __doc __x __id __y __gone __gone_h row text2 lang2 h_blob found clean g_id g_h o_id num copies grp tie bin_id kept uses asks node near root".split()
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, words string, bucket int, id string, h string, size int, key string, blob string, rule string, cut string, b string, n int, doc string, x string, " + ", ".join(f"`{c}` string" for c in CLASHES)
 SECRET = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
 
 
@@ -29,7 +31,7 @@ def _rows():
         (10, f"see {SECRET} and more", "de", "b"),
         (11, "a b \U0001f600 ▁ é  ", "de", "b"),
     ]
-    return [(i, t, la, s, None if t is None else len(t), *["clash", 1, "clash", "clash", 1, "clash", "clash", "clash", "clash", "clash", 1, "clash", 1, "clash"]) for i, t, la, s in rows]
+    return [(i, t, la, s, None if t is None else len(t), *["clash", 1, "clash", "clash", 1, "clash", "clash", "clash", "clash", "clash", 1, "clash", "clash", *CLASHES]) for i, t, la, s in rows]
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +60,8 @@ def test_html(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "", "t"), (None, "<p>a", "t"), (3, "<b>" * 5000 + "deep", "t"), (4, "<table><tr><td>1<td>2", "t")], "page_id bigint, html string, text string")
     got = {(r.page_id, r.text) for r in html_extract.extract(pages).collect()}
     assert got == {(1, None), (2, ""), (None, "a"), (3, "deep"), (4, "1 | 2")}
+    long = "<p>word </p>" * 200_000
+    assert html_extract.render(long).count("word") == 200_000
     assert html_extract.extract(pages).count() == 6
     assert html_extract.extract(pages.limit(0)).count() == 0
 
@@ -115,6 +119,9 @@ def test_urls(spark):
     assert {r.page_id for r in url_cascade.flag_listed(pages, listed=chosen).where("listed").collect()} == {None}
     none = spark.createDataFrame([], "url string")
     assert url_cascade.flag_listed(pages, listed=none).where("listed").count() == 0
+    assert url_cascade.flag_listed(pages, terms=()).where("listed").count() == 0
+    assert url_cascade.flag_listed(pages, terms=("good.", "a|b")).where("listed").select("page_id").distinct().count() == 2
+    assert url_cascade.flag_listed(pages, terms=("c.sino",)).where("listed").count() == 0
 
 
 def test_classifier(docs, nothing, labels):
@@ -154,6 +161,32 @@ def test_secrets(docs, nothing):
     assert secret_ledger.redact(nothing).count() == 0
 
 
+def test_clashing_columns_keep_their_values(spark, docs, labels):
+    kept = [quality_qda.keep_good(docs, labels, reject_below=-1e9), quality_rules.keep_passing(docs, fence=1e9), near_dup.keep_one(docs), secret_ledger.redact(docs)]
+    for df in kept:
+        assert df.columns == docs.columns and dict(df.dtypes) == dict(docs.dtypes)
+        for r in df.collect():
+            assert [r[c] for c in CLASHES] == CLASHES and r["h"] == "clash" and r["size"] == 1
+    assert all(df.count() == docs.count() for df in (kept[0], kept[1], kept[3]))
+
+
+def test_a_value_at_the_threshold_passes(spark):
+    """All texts alike: every statistic is at its quartiles, and a fence of no width lets them pass; the classifier keeps a score at its limit."""
+    same = spark.createDataFrame([(i, "a b c d e f", "en", "a") for i in range(50)], "doc_id bigint, text string, lang string, source string")
+    assert quality_rules.judge(same, fence=0.0).where("keep").count() == 50
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, quality int")
+    judged = quality_qda.classify(same, labels)
+    score = judged.first().score
+    assert quality_qda.classify(same, labels, reject_below=score).where("keep").count() == 50
+
+
+@pytest.mark.parametrize("name", ["empty"])
+def test_pipeline_on_an_empty_table(spark, tmp_path, nothing, labels, name):
+    nothing.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, docs, nothing, sf, name, stage):
     out = stage(spark, docs, sf)
