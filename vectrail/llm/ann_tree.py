@@ -1,18 +1,22 @@
 """Approximate nearest neighbours over a hierarchical k-means tree.
 
 The upper levels of the tree are built by distributed k-means over all vectors
-until every node has at most ``max_local`` of them; below, each node is split
-where its vectors lie. A search takes the nodes nearest to the query from a
-priority queue, opens inner ones and scans leaves. How many nodes and leaves
-are visited is widened until a sample of queries, compared with all vectors,
-reaches the wanted recall; the widest step visits everything.
-
-Upper nodes number about ``N / max_local``; ``max_local`` grows where their
-centroids would exceed ``broadcast_limit``. Lower nodes never leave their group.
+until every node has at most ``max_local`` of them; below, each such group is
+split in one task, and the whole tree is written. A search takes the nearest
+open node from a priority queue, opens inner ones and visits leaves, where a
+node counts as no nearer than its parent. How many leaves are visited is widened
+until a sample of queries, compared with all vectors, reaches the wanted
+recall; the widest visits everything.
+
+Where all nodes fit into ``broadcast_limit`` one queue spans the whole tree and
+each query meets only the leaves it gives. Beyond, one queue spans the upper
+tree, which gives groups, and one each group's own; both are widened. Queries
+and vectors meet by group, so no task holds more than a group.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -22,17 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialise
+from ..session import materialise, release
 
 K = 10
 RECALL = 0.94
 SAMPLE = 256
-MAX_LOCAL = 4_000
+MAX_LOCAL = 16_000
 LEAF = 96
 BRANCH = 12
 ROUNDS = 5
 CELL_QUERIES = 20_000
-BROADCAST_LIMIT = 32 << 20
+BROADCAST_LIMIT = 64 << 20
+_TILE = 1 << 21
+
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.concatenate([np.asarray(x, np.float32) for x in column]).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.float32)
@@ -68,89 +74,145 @@ def _local_means(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-class LocalTree:
-    """A k-means tree over the vectors of one group: centroids, children per inner node, rows per leaf."""
-
-    def __init__(self, x: np.ndarray, leaf: int = LEAF, branch: int = BRANCH) -> None:
-        self.x = x
-        self.centroids: list[np.ndarray] = [x.mean(0)]
-        self.children: list[list[int]] = [[]]
-        self.rows: list[np.ndarray | None] = [np.arange(len(x))]
-        pending = [0]
-        while pending:
-            node = pending.pop()
-            rows = self.rows[node]
-            if rows is None or len(rows) <= leaf:
-                continue
-            k = min(branch, math.ceil(len(rows) / (leaf / 2)))
-            near = _nearest(x[rows], _local_means(x[rows], k))
-            if np.bincount(near, minlength=k).max() > 0.95 * len(rows):  # vectors too alike to part
-                near = np.arange(len(rows)) % k
-            self.rows[node] = None
-            for c in range(k):
-                part = rows[near == c]
-                if len(part):
-                    self.children[node].append(len(self.centroids))
-                    pending.append(len(self.centroids))
-                    self.centroids.append(x[part].mean(0))
-                    self.children.append([])
-                    self.rows.append(part)
-
-    def visits(self, q: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, queries, how many leaves each had before): every query's queue gives its nearest open node, at most ``most`` leaves."""
-        leaf = np.array([r is not None for r in self.rows])
-        distance = _distances(q, np.array(self.centroids, np.float32)).astype(np.float32)
-        queue = np.full_like(distance, np.inf)
-        queue[:, 0] = distance[:, 0]
-        had = np.zeros(len(q), np.int64)
-        active = np.arange(len(q))
-        while len(active):
-            node = queue[active].argmin(1)
-            left = np.isfinite(queue[active, node])
-            active, node = active[left], node[left]
-            queue[active, node] = np.inf
-            for n in np.unique(node):
-                who = active[node == n]
-                if leaf[n]:
-                    yield int(n), who, had[who]
-                    had[who] += 1
-                else:
-                    cells = np.ix_(who, self.children[n])
-                    queue[cells] = distance[cells]
-            active = active[had[active] < most]
-
-    def leaves_for(self, q: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
-        """(leaf, queries that visit it)."""
-        leaves = [n for n, r in enumerate(self.rows) if r is not None]
-        if most >= len(leaves):
-            return [(n, np.arange(len(q))) for n in leaves]
-        seen: dict[int, list[np.ndarray]] = {}
-        for n, who, _ in self.visits(q, most):
-            seen.setdefault(n, []).append(who)
-        return [(n, np.concatenate(w)) for n, w in seen.items()]
-
-    def search(self, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, neighbour id, distance) of up to ``k`` neighbours each, none with the query's own id."""
-        spare = k + 4
-        best = np.full((len(q), spare), np.inf, np.float32)
-        who = np.full((len(q), spare), -1, np.int64)
-        for node, queries in self.leaves_for(q, visits):
-            rows = self.rows[node]
-            for at in range(0, len(queries), 4096):
-                part = queries[at : at + 4096]
-                d = _distances(q[part], self.x[rows]).astype(np.float32)
-                d[qids[part][:, None] == ids[rows][None, :]] = np.inf
-                d = np.concatenate([best[part], d], 1)
-                w = np.concatenate([who[part], np.broadcast_to(rows, (len(part), len(rows)))], 1)
-                take = np.argpartition(d, spare - 1, 1)[:, :spare]
-                best[part], who[part] = np.take_along_axis(d, take, 1), np.take_along_axis(w, take, 1)
-        a, b = np.nonzero(np.isfinite(best))
-        rows = who[a, b]
-        exact = ((q[a].astype(np.float64) - self.x[rows].astype(np.float64)) ** 2).sum(1)
-        order = np.lexsort((ids[rows], exact, a))
-        a, rows, exact = a[order], rows[order], exact[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        return a[rank < k], ids[rows[rank < k]], exact[rank < k]
+class Tree:
+    """Centroids and parents; a parent comes before its children. ``name``: what a leaf stands for, -1 for inner nodes."""
+
+    def __init__(self, centroids: np.ndarray, parent: np.ndarray, name: np.ndarray) -> None:
+        self.centroids, self.parent, self.name = centroids, parent, name
+        self.leaves = np.flatnonzero(name >= 0)
+        self.children: list[list[int]] = [[] for _ in parent]
+        depth = np.zeros(len(parent), np.int64)
+        for i, p in enumerate(parent.tolist()):
+            if p >= 0:
+                self.children[p].append(i)
+                depth[i] = depth[p] + 1
+        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+
+    def queue(self, q: np.ndarray) -> Iterator[int]:
+        """Leaves in the order in which the queue of one query gives them up."""
+        open_ = [(0.0, 0)]
+        while open_:
+            key, node = heapq.heappop(open_)
+            if self.name[node] >= 0:
+                yield node
+            kids = self.children[node]
+            if kids:
+                for d, c in zip(_distances(q[None], self.centroids[kids])[0].tolist(), kids):
+                    heapq.heappush(open_, (max(key, d), c))
+
+    def keys(self, q: np.ndarray) -> np.ndarray:
+        """The keys that the leaves have in the queues of many queries; a queue gives its leaves up in their order."""
+        key = _distances(q, self.centroids)
+        key[:, 0] = 0.0
+        for level in self.levels:
+            key[:, level] = np.maximum(key[:, level], key[:, self.parent[level]])
+        return key[:, self.leaves]
+
+    def first(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf name) of the first ``most`` leaves of every query's queue, ordered by query."""
+        n = len(self.leaves)
+        if most >= n:
+            return np.repeat(np.arange(len(q)), n), np.tile(self.name[self.leaves], len(q))
+        if most * 400 < len(self.parent):  # few of many: only the nodes that the queue opens are measured
+            found = [[leaf for leaf, _ in zip(self.queue(x), range(most))] for x in q]
+            return np.repeat(np.arange(len(q)), most), self.name[np.array(found, np.int64).ravel()]
+        out = []
+        for at in range(0, len(q), max(1, _TILE // len(self.parent))):
+            out.append(np.argpartition(self.keys(q[at : at + max(1, _TILE // len(self.parent))]), most - 1, 1)[:, :most])
+        return np.repeat(np.arange(len(q)), most), self.name[self.leaves[np.concatenate(out).ravel()]] if out else np.zeros(0, np.int64)
+
+    def places(self, q: np.ndarray) -> np.ndarray:
+        """For each query and leaf its place in the queue."""
+        order = np.argsort(self.keys(q), 1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+        return place
+
+
+def grow(x: np.ndarray, leaf: int = LEAF, branch: int = BRANCH) -> tuple[Tree, np.ndarray]:
+    """The k-means tree over ``x``, its leaves named from 0 on, and the leaf of each row."""
+    centroids, parent, name, of_row, leaves = [x.mean(0)], [-1], [-1], np.zeros(len(x), np.int64), 0
+    pending = [(0, np.arange(len(x)))]
+    while pending:
+        node, rows = pending.pop()
+        if len(rows) <= leaf:
+            name[node], of_row[rows], leaves = leaves, leaves, leaves + 1
+            continue
+        k = min(branch, math.ceil(len(rows) / (leaf / 2)))
+        near = _nearest(x[rows], _local_means(x[rows], k))
+        if np.bincount(near, minlength=k).max() > 0.95 * len(rows):  # vectors too alike to part
+            near = np.arange(len(rows)) % k
+        for c in range(k):
+            part = rows[near == c]
+            if len(part):
+                pending.append((len(parent), part))
+                centroids.append(x[part].mean(0))
+                parent.append(node)
+                name.append(-1)
+    return Tree(np.array(centroids, np.float32), np.array(parent), np.array(name)), of_row
+
+
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` least of each row: those are in the ``k`` runs of 32 with the least minima."""
+    n = d.shape[1]
+    if n <= 64 * k:
+        return np.argpartition(d, min(k, n) - 1, 1)[:, :k]
+    runs = n // 32
+    least = d[:, : runs * 32].reshape(len(d), runs, 32).min(2)
+    take = np.argpartition(least, k - 1, 1)[:, :k]
+    some = np.concatenate([(take[:, :, None] * 32 + np.arange(32)).reshape(len(d), -1), np.broadcast_to(np.arange(runs * 32, n), (len(d), n - runs * 32))], 1)
+    pick = np.argpartition(np.take_along_axis(d, some, 1), k - 1, 1)[:, :k]
+    return np.take_along_axis(some, pick, 1)
+
+
+def scan(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, q: np.ndarray, qids: np.ndarray, who: np.ndarray, visited: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, neighbour id, distance) of up to ``k`` neighbours in the leaves visited, none with the query's own id.
+
+    ``who``, ``visited``: pairs of query row and leaf, ordered by query. Queries
+    are measured in tiles against all rows of the group and see those of their
+    leaves; where they visit few, leaf by leaf.
+    """
+    count, spare = int(leaf.max(initial=-1)) + 1, k + 4
+    best, near = np.full((len(q), spare), np.inf, np.float32), np.full((len(q), spare), -1, np.int64)
+
+    def keep(part: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
+        d[qids[part][:, None] == ids[rows][None, :]] = np.inf
+        take = _least(d, min(spare, d.shape[1]))
+        d = np.concatenate([best[part], np.take_along_axis(d, take, 1)], 1)
+        w = np.concatenate([near[part], rows[take]], 1)
+        take = np.argpartition(d, spare - 1, 1)[:, :spare]
+        best[part], near[part] = np.take_along_axis(d, take, 1), np.take_along_axis(w, take, 1)
+
+    if len(who) * 4 > len(q) * count:
+        step = max(1, _TILE // max(1, len(x)))
+        ends = np.searchsorted(who, np.arange(0, len(q) + step, step))
+        every = np.arange(len(x))
+        for i, at in enumerate(range(0, len(q), step)):
+            part = np.arange(at, min(len(q), at + step))
+            sees = np.zeros((len(part), count), bool)
+            sees[who[ends[i] : ends[i + 1]] - at, visited[ends[i] : ends[i + 1]]] = True
+            d = _distances(q[part], x)
+            if not sees.all():
+                d[~sees[:, leaf]] = np.inf
+            keep(part, every, d)
+    else:
+        rows_of = np.argsort(leaf, kind="stable")
+        edges = np.searchsorted(leaf[rows_of], np.arange(count + 1))
+        by_leaf = np.argsort(visited, kind="stable")
+        ends = np.searchsorted(visited[by_leaf], np.arange(count + 1))
+        for n in np.flatnonzero(np.diff(ends)):
+            rows = rows_of[edges[n] : edges[n + 1]]
+            asking = who[by_leaf[ends[n] : ends[n + 1]]]
+            for at in range(0, len(asking) if len(rows) else 0, 4096):
+                part = asking[at : at + 4096]
+                keep(part, rows, _distances(q[part], x[rows]))
+    a, b = np.nonzero(np.isfinite(best))
+    rows = near[a, b]
+    exact = ((q[a].astype(np.float64) - x[rows].astype(np.float64)) ** 2).sum(1)
+    order = np.lexsort((ids[rows], exact, a))
+    a, rows, exact = a[order], rows[order], exact[order]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[rank < k], ids[rows[rank < k]], exact[rank < k]
 
 
 def _clean(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
@@ -162,11 +224,13 @@ def _clean(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame,
     return (rows, 0) if common is None else (rows.where(F.size("v") == common["dim"]), common["dim"])
 
 
-def _upper(rows: DataFrame, n: int, dim: int, max_local: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """(id, v, grp) and the centroid of each group. Every level splits all nodes that are too large at once."""
+def _upper(rows: DataFrame, n: int, dim: int, max_local: int) -> tuple[DataFrame, dict[int, int], Tree]:
+    """(id, v, grp), the size of each group, and the tree down to them. Every level splits all nodes that are too large at once."""
     spark = rows.sparkSession
     placed = rows.withColumn("grp", F.lit(0).cast("bigint"))
-    sizes, centroids, free = {0: n}, {0: np.zeros(dim, np.float32)}, 1
+    sizes, free = {0: n}, 1
+    #: node -> (parent, centroid)
+    nodes: dict[int, tuple[int, np.ndarray]] = {0: (-1, np.zeros(dim, np.float32))}
     while large := {g: c for g, c in sizes.items() if c > max_local}:
         branch = {g: min(64, max(4, math.ceil(4 * c / max_local))) for g, c in large.items()}
         w = W.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
@@ -225,48 +289,14 @@ def _upper(rows: DataFrame, n: int, dim: int, max_local: int) -> tuple[DataFrame
             now = {r["grp"]: r["count"] for r in split.groupBy("grp").count().collect()}
         for g in large:
             for i, c in enumerate(number[g]):
-                centroids[c] = centres[g][i]
+                if c in now:
+                    nodes[c] = (g, centres[g][i])
+        release(placed)
         placed, sizes = split, now
-    return placed, {g: centroids[g] for g in sizes}
-
-
-def _routed(queries: DataFrame, expected: int, centroids: dict[int, np.ndarray], dim: int, nodes: int) -> tuple[DataFrame, int]:
-    """Queries (id, v) at each of their nearest groups, with the group's place among them, and the number of parts they are dealt to."""
-    names = np.array(sorted(centroids), np.int64)
-    shared = queries.sparkSession.sparkContext.broadcast((names, np.array([centroids[g] for g in names], np.float32)))
-    nodes = min(nodes, len(names))
-    # a group meets its queries in parts, so that a cell's size doesn't grow with the visits that recall takes
-    salts = max(1, math.ceil(expected * nodes / len(names) / CELL_QUERIES))
-
-    def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, centres = shared.value
-        step = max(1, 4096 // nodes)
-        for whole in it:
-            for at in range(0, len(whole), step):
-                pdf = whole.iloc[at : at + step]
-                near = np.argsort(_distances(_matrix(pdf["v"], dim), centres), 1, kind="stable")[:, :nodes]
-                rep = np.repeat(np.arange(len(pdf)), nodes)
-                qid = pdf["id"].to_numpy()[rep]
-                yield pd.DataFrame({"qid": qid, "qv": pdf["v"].to_numpy()[rep], "qgrp": names[near.ravel()], "place": np.tile(np.arange(nodes), len(pdf)), "qsalt": qid % salts})
-
-    return queries.select("id", "v").mapInPandas(route, "qid bigint, qv array<float>, qgrp bigint, place bigint, qsalt bigint"), salts
-
-
-def _search(queries: DataFrame, expected: int, placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k: int, nodes: int, visits: int) -> DataFrame:
-    """(id, neighbour, dist, rank) for ``queries`` (id, v), of which there are ``expected``."""
-    def meet(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(asking):
-            return pd.DataFrame({"id": [], "neighbour": [], "dist": []}).astype({"id": "int64", "neighbour": "int64", "dist": "float64"})
-        mine = mine.sort_values("id")
-        ids, qids = mine["id"].to_numpy(), asking["qid"].to_numpy()
-        a, near, dist = LocalTree(_matrix(mine["v"], dim)).search(ids, _matrix(asking["qv"], dim), qids, k, visits)
-        return pd.DataFrame({"id": qids[a], "neighbour": near, "dist": dist})
-
-    routed, salts = _routed(queries, expected, centroids, dim, nodes)
-    held = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
-    found = held.groupBy("grp", "salt").cogroup(routed.groupBy("qgrp", "qsalt")).applyInPandas(meet, "id bigint, neighbour bigint, dist double")
-    first = W.partitionBy("id").orderBy("dist", "neighbour")
-    return found.withColumn("rank", F.row_number().over(first).cast("bigint")).where(F.col("rank") <= k)
+    order = sorted(nodes)
+    at = {g: i for i, g in enumerate(order)}
+    tree = Tree(np.array([nodes[g][1] for g in order], np.float32), np.array([at.get(nodes[g][0], -1) for g in order]), np.array([g if g in sizes else -1 for g in order]))
+    return placed, sizes, tree
 
 
 def _exact(sample: DataFrame, rows: DataFrame, dim: int, k: int) -> dict[int, set[int]]:
@@ -293,43 +323,152 @@ def _exact(sample: DataFrame, rows: DataFrame, dim: int, k: int) -> dict[int, se
     return truth
 
 
-def calibrate(placed: DataFrame, centroids: dict[int, np.ndarray], dim: int, k: int, recall: float, sample: int) -> tuple[int, int, float]:
-    """(upper nodes, leaves in each, recall): the least work that gives ``recall`` on a sample of queries.
-
-    One job notes for each true neighbour of the sample when the traversal
-    would reach it: the place of its group in the query's queue, and of its
-    leaf within the group. Widening either bound can only find more.
-    """
-    asked = materialise(placed.select("id", "v").orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample), "ann-sample")
-    truth = _exact(asked, placed, dim, k)
-    total = sum(map(len, truth.values()))
-    if not total:
-        return 1, 1, 1.0
-    shared = placed.sparkSession.sparkContext.broadcast(truth)
-
-    def reach(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        if len(mine) and len(asking):
-            mine = mine.sort_values("id")
-            ids, qids, places = mine["id"].to_numpy(), asking["qid"].to_numpy(), asking["place"].to_numpy()
-            tree = LocalTree(_matrix(mine["v"], dim))
-            leaves = sum(r is not None for r in tree.rows)
-            wanted = [shared.value.get(int(i), set()) for i in qids]
-            for n, who, had in tree.visits(_matrix(asking["qv"], dim), 1 << 60):
-                here = set(ids[tree.rows[n]].tolist())
-                found += [(int(places[j]), int(h), leaves) for j, h in zip(who, had) for _ in wanted[j] & here]
-        return pd.DataFrame(found, columns=["place", "leaf", "leaves"]).astype("int64")
-
-    routed, _ = _routed(asked, sample, centroids, dim, len(centroids))
-    met = placed.groupBy("grp").cogroup(routed.groupBy("qgrp")).applyInPandas(reach, "place bigint, leaf bigint, leaves bigint").toPandas()
-    place, leaf, most = met["place"].to_numpy(), met["leaf"].to_numpy(), int(met["leaves"].max())
-    steps = lambda n: sorted({min(n, round(1.2**i)) for i in range(math.ceil(math.log(n + 1, 1.2)) + 1)})
-    widening = sorted((nodes * visits, nodes, visits) for nodes in steps(len(centroids)) for visits in steps(most))
-    for _, nodes, visits in widening:
-        reached = float(((place < nodes) & (leaf < visits)).sum()) / total
-        if reached >= recall:
-            return nodes, visits, reached
-    return len(centroids), 1 << 30, 1.0
+def _planted(placed: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Each group's own tree: rows (id, v, grp, leaf) and nodes (grp, node, parent, leaf, centroid), written once."""
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        tree, leaf = grow(_matrix(pdf["v"], dim))
+        mine = pd.DataFrame({"grp": pdf["grp"], "leaf": leaf, "id": pdf["id"], "node": -1, "parent": -1, "v": pdf["v"]})
+        inner = pd.DataFrame({"grp": pdf["grp"].iloc[0], "leaf": tree.name, "id": -1, "node": np.arange(len(tree.parent)), "parent": tree.parent, "v": list(tree.centroids)})
+        return pd.concat([mine, inner], ignore_index=True)
+
+    made = materialise(placed.groupBy("grp").applyInPandas(both, "grp bigint, leaf bigint, id bigint, node bigint, parent bigint, v array<float>"), "kmeans-tree")
+    return made.where("node < 0").select("id", "v", "grp", "leaf"), made.where("node >= 0").select("grp", "node", "parent", "leaf", F.col("v").alias("centroid"))
+
+
+def _local(pdf: pd.DataFrame, dim: int) -> Tree:
+    pdf = pdf.sort_values("node")
+    return Tree(_matrix(pdf["centroid"], dim), pdf["parent"].to_numpy(), pdf["leaf"].to_numpy())
+
+
+def _whole(upper: Tree, nodes: pd.DataFrame, dim: int) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The upper tree with each group's own beneath its node; also the group and the leaf in it that a leaf's name stands for."""
+    centroids, parent, name, groups, leaves = [upper.centroids], [upper.parent], [np.full(len(upper.parent), -1)], [], []
+    at, total = {int(g): i for i, g in enumerate(upper.name) if g >= 0}, len(upper.parent)
+    named = 0
+    for g, pdf in nodes.groupby("grp"):
+        t = _local(pdf, dim)
+        centroids.append(t.centroids)
+        parent.append(np.where(t.parent >= 0, t.parent + total, at[int(g)]))
+        mine = t.name >= 0
+        own = np.full(len(t.name), -1)
+        own[mine] = named + np.arange(mine.sum())
+        name.append(own)
+        groups.append(np.full(mine.sum(), g))
+        leaves.append(t.name[mine])
+        named, total = named + int(mine.sum()), total + len(t.parent)
+    return Tree(np.concatenate(centroids), np.concatenate(parent), np.concatenate(name)), np.concatenate(groups), np.concatenate(leaves)
+
+
+class Index:
+    """A written tree over vectors: ``rows`` (id, v, grp, leaf), ``nodes``, the upper tree and, where it fits, the whole one on the driver."""
+
+    def __init__(self, vectors: DataFrame, n: int, dim: int, max_local: int, broadcast_limit: int) -> None:
+        self.n, self.dim = n, dim
+        # only where the upper tree itself would not fit do groups grow: 10^11 vectors of 64 numbers make groups of some 10^5
+        max_local = max(max_local, math.ceil(1.3 * n * dim * 4 / broadcast_limit))
+        placed, self.sizes, self.upper = _upper(vectors, n, dim, max_local)
+        self.rows, self.nodes = _planted(placed, dim)
+        count = self.nodes.count()
+        self.tree, self.group_of, self.leaf_of = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if (count + len(self.upper.parent)) * dim * 4 <= broadcast_limit:
+            self.tree, self.group_of, self.leaf_of = _whole(self.upper, self.nodes.toPandas(), dim)
+
+    def calibrate(self, k: int, recall: float, sample: int) -> tuple[int, int, float]:
+        """(groups, leaves, recall): the least work that gives ``recall`` on a sample of queries; groups is 0 where one queue spans the tree.
+
+        Each true neighbour of the sample has a place in the queue at which its
+        leaf comes up; visiting more can only find more.
+        """
+        asked = materialise(self.rows.select("id", "v").orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample), "ann-sample")
+        truth = _exact(asked, self.rows, self.dim, k)
+        pairs = [(q, i) for q, ids in truth.items() for i in ids]
+        if not pairs:
+            return 0 if self.tree else 1, 1, 1.0
+        wanted = self.rows.sparkSession.createDataFrame(pd.DataFrame({"w_id": sorted({i for _, i in pairs})}))
+        home = {r["id"]: (r["grp"], r["leaf"]) for r in self.rows.join(F.broadcast(wanted), F.col("id") == F.col("w_id"), "left_semi").select("id", "grp", "leaf").collect()}
+        pdf = asked.toPandas()
+        q, row = _matrix(pdf["v"], self.dim), {int(i): j for j, i in enumerate(pdf["id"])}
+        who, to = np.array([row[a] for a, _ in pairs]), [home[b] for _, b in pairs]
+        if self.tree is not None:
+            at = {(int(g), int(x)): i for i, (g, x) in enumerate(zip(self.group_of, self.leaf_of))}
+            column = {int(n): i for i, n in enumerate(self.tree.name[self.tree.leaves])}
+            place = np.sort(self.tree.places(q)[who, [column[at[t]] for t in to]])
+            need = min(len(place) - 1, max(0, math.ceil(recall * len(place)) - 1))
+            visits = int(place[need]) + 1
+            return 0, visits, float((place < visits).mean())
+        column = {int(n): i for i, n in enumerate(self.upper.name[self.upper.leaves])}
+        outer = self.upper.places(q)[who, [column[int(g)] for g, _ in to]]
+        groups = sorted({int(g) for g, _ in to})
+        inner = np.zeros(len(pairs), np.int64)
+        local = self.nodes.where(F.col("grp").isin(groups))
+        shared = self.rows.sparkSession.sparkContext.broadcast((q, who, to, self.dim))
+
+        def reach(mine: pd.DataFrame) -> pd.DataFrame:
+            q, who, to, dim = shared.value
+            tree, g = _local(mine, dim), int(mine["grp"].iloc[0])
+            some = [j for j, t in enumerate(to) if t[0] == g]
+            column = {int(n): i for i, n in enumerate(tree.name[tree.leaves])}
+            found = tree.places(q[who[some]])[np.arange(len(some)), [column[to[j][1]] for j in some]]
+            return pd.DataFrame({"pair": some, "place": found})
+
+        for r in local.groupBy("grp").applyInPandas(reach, "pair bigint, place bigint").collect():
+            inner[r["pair"]] = r["place"]
+        most = int(inner.max()) + 1
+        steps = lambda n: sorted({min(n, round(1.2**i)) for i in range(math.ceil(math.log(n + 1, 1.2)) + 1)})
+        for _, a, b in sorted((a * b, a, b) for a in steps(len(self.upper.leaves)) for b in steps(most)):
+            reached = float(((outer < a) & (inner < b)).mean())
+            if reached >= recall:
+                return a, b, reached
+        return len(self.upper.leaves), 1 << 30, 1.0
+
+    def search(self, queries: DataFrame, expected: int, k: int, groups: int, visits: int) -> DataFrame:
+        """(id, neighbour, dist, rank) for ``queries`` (id, v), of which there are ``expected``."""
+        dim, spark = self.dim, self.rows.sparkSession
+        tree = self.upper if groups else self.tree
+        shared = spark.sparkContext.broadcast((tree, self.group_of, self.leaf_of))
+        share = min(1.0, groups / max(1, len(self.upper.leaves))) if groups else 1.0
+        # a group meets its queries in parts, so that a task's size doesn't grow with the visits that recall takes
+        salts = max(1, math.ceil(expected * share / CELL_QUERIES))
+
+        def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tree, group_of, leaf_of = shared.value
+            for whole in it:
+                for at in range(0, len(whole), 4096):
+                    pdf = whole.iloc[at : at + 4096]
+                    who, name = tree.first(_matrix(pdf["v"], dim), groups or visits)
+                    if groups:
+                        rep, grp, leaves = who, name, [None] * len(who)
+                    else:
+                        order = np.lexsort((leaf_of[name], group_of[name], who))
+                        who, name = who[order], name[order]
+                        grp, leaf = group_of[name], leaf_of[name].astype(np.int32)
+                        first = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(grp, prepend=grp[0] - 1 if len(grp) else 0) != 0))
+                        rep, grp, leaves = who[first], grp[first], np.split(leaf, first[1:]) if len(first) else []
+                    qid = pdf["id"].to_numpy()[rep]
+                    yield pd.DataFrame({"qid": qid, "qv": pdf["v"].to_numpy()[rep], "qgrp": grp, "leaves": leaves, "qsalt": qid % salts})
+
+        def meet(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+            rows = mine[mine["node"] < 0].sort_values("id")
+            if not len(rows) or not len(asking):
+                return pd.DataFrame({"id": [], "neighbour": [], "dist": []}).astype({"id": "int64", "neighbour": "int64", "dist": "float64"})
+            q, qids = _matrix(asking["qv"], dim), asking["qid"].to_numpy()
+            if groups:
+                who, leaf = _local(mine[mine["node"] >= 0].rename(columns={"v": "centroid"}), dim).first(q, visits)
+            else:
+                who, leaf = np.repeat(np.arange(len(q)), [len(x) for x in asking["leaves"]]), np.concatenate(asking["leaves"].tolist()).astype(np.int64)
+            a, near, dist = scan(_matrix(rows["v"], dim), rows["id"].to_numpy(), rows["leaf"].to_numpy(), q, qids, who, leaf, k)
+            return pd.DataFrame({"id": qids[a], "neighbour": near, "dist": dist})
+
+        routed = queries.select("id", "v").mapInPandas(route, "qid bigint, qv array<float>, qgrp bigint, leaves array<int>, qsalt bigint")
+        held = self.rows.select("grp", "id", "v", "leaf", F.lit(-1).cast("bigint").alias("node"), F.lit(-1).cast("bigint").alias("parent"))
+        if groups:
+            held = held.unionByName(self.nodes.select("grp", F.lit(-1).cast("bigint").alias("id"), F.col("centroid").alias("v"), "leaf", "node", "parent"))
+        dealt = held.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+        found = dealt.groupBy("grp", "salt").cogroup(routed.groupBy("qgrp", "qsalt")).applyInPandas(meet, "id bigint, neighbour bigint, dist double")
+        first = W.partitionBy("id").orderBy("dist", "neighbour")
+        return found.withColumn("rank", F.row_number().over(first).cast("bigint")).where(F.col("rank") <= k)
 
 
 def neighbours(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, recall: float = RECALL, sample: int = SAMPLE, max_local: int = MAX_LOCAL, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -340,15 +479,13 @@ def neighbours(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     without an id are left out on both sides. Of rows that share an id the
     least vector counts. Ties go to the smaller id. With fewer than ``k`` other
     vectors all are returned; an empty table gives an empty result. Extra
-    columns are not read.
+    columns are not read, whatever their names.
     """
     rows, dim = _clean(vectors, vec_id, embedding)
     names = [F.col("id").alias(vec_id), F.col("neighbour").alias("neighbour_id"), F.round("dist", 6).alias("dist"), "rank"]
     if not dim:
         return vectors.sparkSession.createDataFrame([], "id bigint, neighbour bigint, dist double, rank bigint").select(*names)
     n = rows.count()
-    max_local = max(max_local, math.ceil(4 * n * dim * 8 / broadcast_limit))
-    placed, centroids = _upper(rows, n, dim, max_local)
-    placed = materialise(placed, "kmeans-tree")
-    nodes, visits, _ = calibrate(placed, centroids, dim, k, recall, sample)
-    return _search(placed, n, placed, centroids, dim, k, nodes, visits).select(*names)
+    index = Index(rows, n, dim, max_local, broadcast_limit)
+    groups, visits, _ = index.calibrate(k, recall, sample)
+    return index.search(index.rows, n, k, groups, visits).select(*names)
