@@ -265,25 +265,64 @@ def test_neighbours_against_brute_force(spark, sf):
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     true = {int(i): set(ids[row].tolist()) for i, row in zip(ids, np.argsort(d, 1)[:, :10])}
-    for max_local in (10_000, 60):
+    # one group, one queue over many groups, and a queue for the groups with one in each
+    for max_local, limit in ((10_000, 64 << 20), (60, 64 << 20), (60, 4_000)):
         got = collections.defaultdict(set)
-        for r in ann_tree.neighbours(_read(spark, sf, "embeddings"), max_local=max_local).collect():
+        for r in ann_tree.neighbours(_read(spark, sf, "embeddings"), max_local=max_local, broadcast_limit=limit).collect():
             got[r.vec_id].add(r.neighbour_id)
             assert r.vec_id != r.neighbour_id
         assert all(len(s) == 10 for s in got.values())
         assert sum(len(got[i] & s) for i, s in true.items()) / sum(map(len, true.values())) >= 0.9
 
 
-def test_tree_search_is_exact_when_wide():
+def test_clustered_vectors_need_few_leaves(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16)) * 6
+    x = (centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    index = ann_tree.Index(df, 4000, 16, 500, 64 << 20)
+    groups, visits, reached = index.calibrate(10, 0.94, 256)
+    assert groups == 0 and reached >= 0.94
+    assert visits <= 0.25 * len(index.tree.leaves)
+    assert max(index.sizes.values()) <= 500 and sum(index.sizes.values()) == 4000
+    two = ann_tree.Index(df, 4000, 16, 500, 4_000)
+    assert two.tree is None and two.calibrate(10, 0.94, 256)[0] >= 1
+
+
+def test_the_queue_of_the_tree():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    tree, leaf = ann_tree.grow(x, leaf=20, branch=4)
+    assert np.bincount(leaf).max() <= 20 and set(leaf.tolist()) == set(tree.name[tree.leaves].tolist())
+    keys, at = tree.keys(x[:20]), {int(n): i for i, n in enumerate(tree.leaves)}
+    for j in range(20):
+        given = list(tree.queue(x[j]))
+        assert sorted(given) == tree.leaves.tolist()
+        order = [keys[j, at[n]] for n in given]
+        assert np.allclose(order, sorted(order), atol=1e-3)
+        few = {int(n) for n in tree.name[given[:5]]}
+        who, name = tree.first(x[:20], 5)
+        assert len(few & set(name[who == j].tolist())) >= 4  # ties of a common parent may fall either way
+    assert tree.places(x[:20]).shape == keys.shape
+
+
+def test_tree_search_is_exact_where_it_visits():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(700, 8)).astype(np.float32)
-    ids = np.arange(700)
-    a, near, dist = ann_tree.LocalTree(x, leaf=20, branch=4).search(ids, x[:50], ids[:50], 5, 1 << 30)
+    x = rng.normal(size=(2700, 8)).astype(np.float32)
+    ids = np.arange(2700)
+    tree, leaf = ann_tree.grow(x, leaf=20, branch=4)
     d = ((x[:50, None].astype(float) - x[None]) ** 2).sum(-1)
     d[np.arange(50), np.arange(50)] = np.inf
-    assert near.reshape(50, 5).tolist() == np.argsort(d, 1)[:, :5].tolist()
-    few = ann_tree.LocalTree(x, leaf=20, branch=4).search(ids, x[:50], ids[:50], 5, 4)
-    assert 0 < len(set(zip(few[0].tolist(), few[1].tolist())) & set(zip(a.tolist(), near.tolist()))) < len(a)
+    for most in (1 << 30, 60, 4, 1):
+        who, name = tree.first(x[:50], most)
+        sees = np.zeros((50, len(tree.leaves)), bool)
+        sees[who, name] = True
+        near = np.where(sees[:, leaf], d, np.inf)
+        a, got, dist = ann_tree.scan(x, ids, leaf, x[:50], ids[:50], who, name, 5)
+        for j in range(50):
+            wanted = [i for i in np.argsort(near[j], kind="stable")[:5].tolist() if np.isfinite(near[j, i])]
+            assert got[a == j].tolist() == wanted
+            assert np.allclose(dist[a == j], near[j, wanted])
 
 
 # ---------------------------------------------------------------- 4
