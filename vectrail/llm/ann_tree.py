@@ -90,23 +90,24 @@ class Tree:
 
     def queue(self, q: np.ndarray) -> Iterator[int]:
         """Leaves in the order in which the queue of one query gives them up."""
-        open_ = [(0.0, 0)]
+        open_ = [(0.0, 0.0, 0)]
         while open_:
-            key, node = heapq.heappop(open_)
+            key, _, node = heapq.heappop(open_)
             if self.name[node] >= 0:
                 yield node
             kids = self.children[node]
             if kids:
                 for d, c in zip(_distances(q[None], self.centroids[kids])[0].tolist(), kids):
-                    heapq.heappush(open_, (max(key, d), c))
+                    heapq.heappush(open_, (max(key, d), d, c))
 
-    def keys(self, q: np.ndarray) -> np.ndarray:
-        """The keys that the leaves have in the queues of many queries; a queue gives its leaves up in their order."""
-        key = _distances(q, self.centroids)
+    def keys(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys that the leaves have in the queues of many queries, and their distances; a queue gives its leaves up in the order of the keys, nearer ones first on ties."""
+        distance = _distances(q, self.centroids)
+        key = distance.copy()
         key[:, 0] = 0.0
         for level in self.levels:
             key[:, level] = np.maximum(key[:, level], key[:, self.parent[level]])
-        return key[:, self.leaves]
+        return key[:, self.leaves], distance[:, self.leaves]
 
     def first(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, leaf name) of the first ``most`` leaves of every query's queue, ordered by query."""
@@ -116,14 +117,18 @@ class Tree:
         if most * 400 < len(self.parent):  # few of many: only the nodes that the queue opens are measured
             found = [[leaf for leaf, _ in zip(self.queue(x), range(most))] for x in q]
             return np.repeat(np.arange(len(q)), most), self.name[np.array(found, np.int64).ravel()]
-        out = []
-        for at in range(0, len(q), max(1, _TILE // len(self.parent))):
-            out.append(np.argpartition(self.keys(q[at : at + max(1, _TILE // len(self.parent))]), most - 1, 1)[:, :most])
+        out, step = [], max(1, _TILE // len(self.parent))
+        for at in range(0, len(q), step):
+            key, distance = self.keys(q[at : at + step])
+            last = np.partition(key, most - 1, 1)[:, most - 1 : most]
+            rank = np.where(key < last, -np.inf, np.where(key == last, distance, np.inf))
+            out.append(np.argpartition(rank, most - 1, 1)[:, :most])
         return np.repeat(np.arange(len(q)), most), self.name[self.leaves[np.concatenate(out).ravel()]] if out else np.zeros(0, np.int64)
 
     def places(self, q: np.ndarray) -> np.ndarray:
         """For each query and leaf its place in the queue."""
-        order = np.argsort(self.keys(q), 1, kind="stable")
+        key, distance = self.keys(q)
+        order = np.lexsort((distance, key), 1)
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
         return place
