@@ -36,22 +36,29 @@ def prune(edges: DataFrame, vectors: DataFrame, m: int) -> DataFrame:
     Sources with fewer than ``m`` neighbours keep them all.
     """
     held = edges.join(vectors.select(F.col("id").alias("dst"), "embedding"), "dst")
+    # sources travel in batches: a group per source would cost more than its work
+    sources = held.select("src").distinct().count()
+    dealt = held.withColumn("batch", F.pmod(F.xxhash64("src"), F.lit(max(1, math.ceil(sources / 512)))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dist", "dst"])
-        if len(pdf) < m:
-            kept = list(range(len(pdf)))
-        else:
-            x, d, kept = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["dist"].to_numpy(), []
-            for i in range(len(pdf)):
-                if len(kept) == m:
-                    break
-                if all(((x[i] - x[j]) ** 2).sum() >= d[i] for j in kept):
-                    kept.append(i)
-        out = pdf.iloc[kept][["src", "dst", "dist"]]
-        return out.assign(ord=np.arange(1, len(out) + 1))
-
-    return held.groupBy("src").applyInPandas(one, "src bigint, dst bigint, dist double, ord bigint")
+        pdf = pdf.sort_values(["src", "dist", "dst"]).reset_index(drop=True)
+        x, d, src = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["dist"].to_numpy(), pdf["src"].to_numpy()
+        starts = np.append(np.flatnonzero(np.diff(src, prepend=src[0] - 1)), len(src))
+        kept: list[int] = []
+        rank: list[int] = []
+        for a, b in zip(starts, starts[1:]):
+            mine = list(range(a, b)) if b - a < m else []
+            if b - a >= m:
+                for i in range(a, b):
+                    if len(mine) == m:
+                        break
+                    if not mine or (((x[mine] - x[i]) ** 2).sum(1) >= d[i]).all():
+                        mine.append(i)
+            kept += mine
+            rank += range(1, len(mine) + 1)
+        return pdf.iloc[kept][["src", "dst", "dist"]].assign(ord=rank)
+
+    return dealt.groupBy("batch").applyInPandas(one, "src bigint, dst bigint, dist double, ord bigint")
 
 
 def neighbours_of(edges: DataFrame, ids: list[int]) -> DataFrame:

@@ -86,22 +86,38 @@ def _packed(asked: pd.DataFrame) -> Packed:
     return np.stack(asked["embedding"].to_numpy()).astype(np.float64), asked["query_id"].to_numpy(), asked["attrs"].tolist() if "attrs" in asked else [], bounds[0], bounds[1]
 
 
-def _block(pdf: pd.DataFrame, asked: Packed, k: int, metric: str, where: str, exclude_self: bool, farthest: bool) -> pd.DataFrame:
-    """The k best of one block of rows for each query, with a few to spare for ties that rounding hides."""
+#: Distances that one task holds at a time.
+TILE = 1 << 22
+
+
+def _blocks(pdf: pd.DataFrame, asked: Packed, k: int, metric: str, where: str, exclude_self: bool, farthest: bool) -> Iterator[pd.DataFrame]:
+    """The k best of one block of rows for each query, with a few to spare for ties that rounding hides; queries in tiles of TILE distances."""
     q, qids, attrs, lo, hi = asked
     x, ids = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
-    d = (-1.0 if farthest else 1.0) * _kernel(metric, x, q)
-    keep = _mask(where, pdf, attrs, lo, hi)
-    if keep is not None:
-        d[~keep] = np.inf
-    if exclude_self:
-        d[ids[:, None] == qids[None, :]] = np.inf
-    spare = min(len(x), k + 8)
-    take = np.argpartition(d, spare - 1, 0)[:spare]
-    rows, cols = take.ravel(), np.tile(np.arange(len(q)), spare)
-    good = np.isfinite(d[rows, cols])
-    rows, cols = rows[good], cols[good]
-    return pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "dist": _exact(metric, x[rows], q[cols])})
+    step = max(1, TILE // len(x))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        d = (-1.0 if farthest else 1.0) * _kernel(metric, x, q[part])
+        keep = _mask(where, pdf, attrs[part], lo[part], hi[part])
+        if keep is not None:
+            d[~keep] = np.inf
+        if exclude_self:
+            d[ids[:, None] == qids[part][None, :]] = np.inf
+        spare = min(len(x), k + 8)
+        take = np.argpartition(d, spare - 1, 0)[:spare]
+        rows, cols = take.ravel(), np.tile(np.arange(d.shape[1]), spare)
+        good = np.isfinite(d[rows, cols])
+        rows, cols = rows[good], cols[good] + at
+        yield pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "dist": _exact(metric, x[rows], q[cols])})
+
+
+def _asked(queries: DataFrame, needs: list[str]) -> tuple[DataFrame, int, int, int]:
+    """The queries that have a vector, their number, bytes and dimension; vectors of differing length are an error."""
+    asked = queries.select("query_id", "embedding", *(["attrs"] if "attrs" in needs else []), *(["lo", "hi"] if "value" in needs else [])).where(F.col("embedding").isNotNull())
+    n, size, low, high = asked.agg(F.count(F.lit(1)), F.sum(F.size("embedding").cast("bigint") * 8), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if n and low != high:
+        raise ValueError(f"the queries' vectors have between {low} and {high} elements")
+    return asked, n, size or 0, high or 0
 
 
 def top_k(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: str = "none", exclude_self: bool = False, farthest: bool = False, query_limit: int = QUERY_LIMIT) -> DataFrame:
@@ -109,23 +125,23 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where
 
     ``base``: id, embedding and, for a predicate, attrs and value. ``queries``:
     query_id, embedding and, likewise, attrs, lo and hi. ``dist`` is not
-    rounded. Queries of up to ``query_limit`` bytes are broadcast; beyond, rows
-    and queries are dealt to a grid of blocks that measure each other.
+    rounded. Rows whose vector is null or of another dimension than the queries'
+    are left out. Queries of up to ``query_limit`` bytes are broadcast; beyond,
+    rows and queries are dealt to a grid of blocks that measure each other.
     """
     needs = {"none": [], "point": ["attrs"], "range": ["value"], "and": ["attrs", "value"], "or": ["attrs", "value"]}[where]
-    asked = queries.select("query_id", "embedding", *(["attrs"] if "attrs" in needs else []), *(["lo", "hi"] if "value" in needs else [])).where(F.col("embedding").isNotNull())
-    rows = base.select("id", "embedding", *needs).where(F.col("embedding").isNotNull())
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding").cast("bigint") * 8).alias("bytes")).first()
-    if not size["n"]:
+    asked, n, size, dim = _asked(queries, needs)
+    if not n:
         return base.sparkSession.createDataFrame([], f"{_NEAR}, rank bigint")
-    if size["bytes"] > query_limit:
-        return _grid(rows, asked, size["n"], math.ceil(size["bytes"] / query_limit), k, metric, where, exclude_self, farthest)
+    rows = base.select("id", "embedding", *needs).where(F.size("embedding") == dim)
+    if size > query_limit:
+        return _grid(rows, asked, n, math.ceil(size / query_limit), k, metric, where, exclude_self, farthest)
     shared = base.sparkSession.sparkContext.broadcast(_packed(asked.toPandas()))
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
-                yield _block(pdf, shared.value, k, metric, where, exclude_self, farthest)
+                yield from _blocks(pdf, shared.value, k, metric, where, exclude_self, farthest)
 
     return ranked(rows.mapInPandas(scan, _NEAR), k, descending=farthest)
 
@@ -138,10 +154,16 @@ def _grid(rows: DataFrame, asked: DataFrame, n: int, query_blocks: int, k: int,
     theirs = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("c"), spread(row_blocks).alias("r"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "id": [], "dist": []}).astype({"query_id": "int64", "id": "int64", "dist": "float64"})
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "dist": []}).astype({"query_id": "int64", "id": "int64", "dist": "float64"})
-        parts = [_block(left.iloc[at : at + 8192], _packed(right), k, metric, where, exclude_self, farthest) for at in range(0, len(left), 8192)]
-        return pd.concat(parts)
+            return empty
+        packed = _packed(right)
+        best = empty
+        for at in range(0, len(left), 8192):
+            # what is kept between blocks stays at k rows a query
+            best = pd.concat([best, *_blocks(left.iloc[at : at + 8192], packed, k, metric, where, exclude_self, farthest)])
+            best = best.sort_values(["dist", "id"], ascending=not farthest, kind="stable").groupby("query_id", sort=False).head(k)
+        return best
 
     near = mine.groupBy("r", "c").cogroup(theirs.groupBy("r", "c")).applyInPandas(meet, _NEAR)
     return ranked(near, k, descending=farthest)
@@ -164,24 +186,70 @@ def joined(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", wher
 
 
 def within_radius(base: DataFrame, queries: DataFrame, radius: float, most: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
-    """Up to ``most`` rows per query with distance at most ``radius`` (squared for l2)."""
-    met = pairs(base, queries, "none", exclude_self)
-    near = met.select("query_id", "id", METRICS[metric](F.col("embedding"), F.col("q_embedding")).alias("dist")).where(F.col("dist") <= radius)
-    return ranked(near, most)
+    """Up to ``most`` rows per query with distance at most ``radius`` (squared for l2): the nearest, cut at the radius."""
+    return top_k(base, queries, most, metric, exclude_self=exclude_self).where(F.col("dist") <= radius)
+
+
+def _measured(base: DataFrame, queries: DataFrame, metric: str, exclude_self: bool, keep) -> DataFrame:
+    """(query_id, doc_id, id, dist) of the rows that ``keep`` (distances, document codes, query numbers) picks of each block and tile of queries."""
+    asked, n, size, dim = _asked(queries, [])
+    schema = "query_id bigint, doc_id bigint, id bigint, dist double"
+    if not n:
+        return base.sparkSession.createDataFrame([], schema)
+    if size > QUERY_LIMIT:
+        raise ValueError("too many queries for one pass; deal them to several")
+    shared = base.sparkSession.sparkContext.broadcast(_packed(asked.toPandas()))
+
+    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, qids = shared.value[:2]
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x, ids, docs = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["id"].to_numpy(), pdf["doc_id"].to_numpy()
+            step = max(1, TILE // len(x))
+            for at in range(0, len(q), step):
+                d = _kernel(metric, x, q[at : at + step])
+                if exclude_self:
+                    d[ids[:, None] == qids[at : at + step][None, :]] = np.inf
+                rows, cols = keep(d, docs, qids[at : at + step])
+                yield pd.DataFrame({"query_id": qids[cols + at], "doc_id": docs[rows], "id": ids[rows], "dist": _exact(metric, x[rows], q[cols + at])})
+
+    rows = base.select("id", F.col("doc_id").cast("bigint").alias("doc_id"), "embedding").where((F.size("embedding") == dim) & F.col("doc_id").isNotNull())
+    return rows.mapInPandas(scan, schema)
+
+
+def _first_hits(base: DataFrame, queries: DataFrame, metric: str, exclude_self: bool) -> DataFrame:
+    """(query_id, doc_id, hit): each document's nearest vector as struct (dist, id); a block sends one row per document."""
+
+    def keep(d: np.ndarray, docs: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(docs, kind="stable")
+        first = np.flatnonzero(np.diff(docs[order], prepend=docs[order][0] - 1))
+        low = np.minimum.reduceat(d[order], first, axis=0)
+        near = d[order] <= low[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(docs))))] + 1e-9  # ties, to be told apart exactly
+        rows, cols = np.nonzero(near & np.isfinite(d[order]))
+        return order[rows], cols
+
+    met = _measured(base, queries, metric, exclude_self, keep)
+    return met.groupBy("query_id", "doc_id").agg(F.min(F.struct("dist", "id")).alias("hit"))
 
 
 def by_document(base: DataFrame, queries: DataFrame, documents: int, metric: str = "l2", exclude_self: bool = True) -> DataFrame:
-    """Vectors in order of distance while they come from at most ``documents`` distinct doc_ids."""
-    met = pairs(base, queries, "none", exclude_self)
-    near = met.select("query_id", "id", "doc_id", METRICS[metric](F.col("embedding"), F.col("q_embedding")).alias("dist"))
-    first = F.row_number().over(W.partitionBy("query_id", "doc_id").orderBy("dist", "id")) == 1
-    upto = W.partitionBy("query_id").orderBy("dist", "id").rowsBetween(W.unboundedPreceding, 0)
-    counted = near.withColumn("first", first.cast("int")).withColumn("docs", F.sum("first").over(upto))
-    return counted.where(F.col("docs") <= documents).drop("first", "docs")
+    """Vectors in order of distance while they come from at most ``documents`` distinct doc_ids: all that are ahead of the first vector of one more."""
+    order = W.partitionBy("query_id").orderBy("hit")
+    hits = _first_hits(base, queries, metric, exclude_self).withColumn("r", F.row_number().over(order)).where(F.col("r") <= documents + 1)
+    ends = hits.groupBy("query_id").agg(F.max(F.when(F.col("r") == documents + 1, F.col("hit"))).alias("end"))
+    limit = {r["query_id"]: float("inf") if r["end"] is None else r["end"]["dist"] for r in ends.collect()}
+
+    def keep(d: np.ndarray, _: np.ndarray, qids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        upto = np.array([limit.get(int(i), -np.inf) for i in qids])
+        return np.nonzero((d <= upto[None, :] + 1e-9) & np.isfinite(d))
+
+    met = _measured(base, queries, metric, exclude_self, keep)
+    ahead = F.col("end").isNull() | (F.struct("dist", "id") < F.col("end"))
+    return met.join(F.broadcast(ends) if len(limit) < 100_000 else ends, "query_id").where(ahead).select("query_id", "id", "doc_id", "dist")
 
 
 def best_documents(base: DataFrame, queries: DataFrame, documents: int, metric: str = "l2", exclude_self: bool = True) -> DataFrame:
     """(query_id, doc_id, dist, rank): documents by their nearest vector."""
-    met = pairs(base, queries, "none", exclude_self)
-    near = met.groupBy("query_id", F.col("doc_id").alias("id")).agg(F.min(METRICS[metric](F.col("embedding"), F.col("q_embedding"))).alias("dist"))
+    near = _first_hits(base, queries, metric, exclude_self).select("query_id", F.col("doc_id").alias("id"), F.col("hit")["dist"].alias("dist"))
     return ranked(near, documents).withColumnRenamed("id", "doc_id")

@@ -33,12 +33,19 @@ def cms_build(membership: DataFrame, metadata: DataFrame) -> DataFrame:
     return cells.groupBy("cluster_id", "row", "col").agg(F.count(F.lit(1)).alias("cnt"), F.slice(F.array_sort(F.collect_set(fingerprint(F.col("id")))), 1, FINGERPRINTS).alias("fps"))
 
 
+def cms_hits(cms: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes`` (…, attr) with the clusters whose estimate isn't 0, that is, that hold all four of the attribute's cells."""
+    held = cms_cells(probes).join(cms, ["row", "col"])
+    found = held.groupBy(*probes.columns, "cluster_id").agg(F.count(F.lit(1)).alias("cells"), F.min("cnt").cast("bigint").alias("est"), F.min_by("fps", F.struct("cnt", "row")).alias("fps"))
+    return found.where(F.col("cells") == CMS_ROWS).drop("cells")
+
+
 def cms_estimate(cms: DataFrame, probes: DataFrame) -> DataFrame:
-    """``probes`` (…, attr) × clusters: the least of the attribute's four cells, the first row on ties."""
-    clusters = cms.select("cluster_id").distinct()
-    cells = cms_cells(probes).crossJoin(F.broadcast(clusters))
-    held = cells.join(cms, ["cluster_id", "row", "col"], "left")
-    return held.groupBy(*probes.columns, "cluster_id").agg(F.min(F.coalesce("cnt", F.lit(0))).cast("bigint").alias("est"), F.min_by(F.coalesce("fps", F.array().cast("array<int>")), F.struct(F.coalesce("cnt", F.lit(0)), F.col("row"))).alias("fps"))
+    """``probes`` (…, attr) × clusters: the least of the attribute's four cells, the first row on ties; clusters that lack one have 0 and an empty cell."""
+    hits = cms_hits(cms, probes)
+    every = probes.distinct().crossJoin(cms.select("cluster_id").distinct())
+    keys = [*probes.columns, "cluster_id"]
+    return every.join(hits, keys, "left").select(*keys, F.coalesce("est", F.lit(0)).cast("bigint").alias("est"), F.coalesce("fps", F.array().cast("array<int>")).alias("fps"))
 
 
 def cms_bounds(cms: DataFrame, membership: DataFrame) -> DataFrame:
@@ -143,7 +150,7 @@ def popularity_point(queries: DataFrame, cms: DataFrame, membership: DataFrame)
     Queries without attributes have popularity 0 and no cluster.
     """
     probes = queries.select("query_id", F.explode("attrs").alias("attr"))
-    rows = cms_estimate(cms, probes).join(totals(membership), "cluster_id")
+    rows = cms_hits(cms, probes).join(totals(membership), "cluster_id")
     best = _best(rows, F.col("est") / F.col("total"))
     named = best.select("query_id", "popularity", F.when(F.col("popularity") > 0, F.col("cluster_id")).alias("cluster_id"))
     return queries.select("query_id").join(named, "query_id", "left").select("query_id", F.coalesce("popularity", F.lit(0.0)).alias("popularity"), "cluster_id")
@@ -160,15 +167,28 @@ def popularity_range(queries: DataFrame, model: DataFrame) -> DataFrame:
     return _best(range_mass(queries, model), F.col("mass"))
 
 
-def popularity_and(queries: DataFrame, cms: DataFrame, model: DataFrame, minhash: DataFrame) -> DataFrame:
-    """Share of an attribute's ids whose fingerprints also occur in the deciles between the bounds, in the cluster with most of them."""
+def and_overlaps(queries: DataFrame, cms: DataFrame, model: DataFrame, minhash: DataFrame) -> DataFrame:
+    """(query_id, cluster_id, attr, common, size): an attribute's fingerprints in a cluster, and how many of them also occur in the deciles between the bounds."""
     at = lambda c: decile(predict(F.col(c).cast("double"), F.col("x0"), F.col("x1"), F.col("slope"), F.col("intercept")))
-    bounds = queries.select("query_id", "lo", "hi").crossJoin(model).select("query_id", "cluster_id", at("lo").alias("from"), at("hi").alias("to"))
+    attrs = cms_hits(cms, queries.select("query_id", F.explode("attrs").alias("attr")))
+    # only clusters that may hold the attribute need their deciles
+    bounds = attrs.select("query_id", "cluster_id").distinct().join(queries.select("query_id", "lo", "hi"), "query_id").join(model, "cluster_id").select("query_id", "cluster_id", at("lo").alias("from"), at("hi").alias("to"))
     held = bounds.join(minhash, "cluster_id").where(F.col("bucket").between(F.col("from"), F.col("to")))
     values = held.groupBy("query_id", "cluster_id").agg(F.array_distinct(F.flatten(F.collect_list("fps"))).alias("in_range"))
-    attrs = cms_estimate(cms, queries.select("query_id", F.explode("attrs").alias("attr")))
-    both = attrs.join(values, ["query_id", "cluster_id"], "left").select("query_id", "cluster_id", "attr", F.size(F.array_intersect("fps", F.coalesce("in_range", F.array().cast("array<int>")))).cast("bigint").alias("common"), F.size("fps").cast("bigint").alias("size"))
-    rank = W.partitionBy("query_id").orderBy(F.desc("common"), "cluster_id", "attr")
+    none = F.array().cast("array<int>")
+    return attrs.join(values, ["query_id", "cluster_id"], "left").select("query_id", "cluster_id", "attr", F.size(F.array_intersect("fps", F.coalesce("in_range", none))).cast("bigint").alias("common"), F.size("fps").cast("bigint").alias("size"))
+
+
+def popularity_and(queries: DataFrame, cms: DataFrame, model: DataFrame, minhash: DataFrame) -> DataFrame:
+    """Share of an attribute's ids whose fingerprints also occur in the deciles between the bounds, in the cluster with most of them.
+
+    Where no cluster has any, the first cluster and attribute stand with 0.
+    """
+    probes = queries.select("query_id", F.explode("attrs").alias("attr"))
+    first = cms.agg(F.min("cluster_id").alias("cluster_id"))
+    zero = probes.groupBy("query_id").agg(F.min("attr").alias("attr")).crossJoin(first).select("query_id", "cluster_id", "attr", F.lit(0).cast("bigint").alias("common"), F.lit(0).cast("bigint").alias("size"))
+    both = and_overlaps(queries, cms, model, minhash).unionByName(zero)
+    rank = W.partitionBy("query_id").orderBy(F.desc("common"), "cluster_id", "attr", F.desc("size"))
     best = both.withColumn("r", F.row_number().over(rank)).where("r = 1")
     return best.select("query_id", "cluster_id", "common", F.when(F.col("size") > 0, F.col("common") / F.col("size")).otherwise(0.0).alias("popularity"))
 

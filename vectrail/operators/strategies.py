@@ -1,197 +1,154 @@
-"""Filtered approximate search: graph traversal inside shards, and sketch-guided expansion around an unfiltered beam.
+"""Filtered approximate search over a stored graph index: traversal inside shards, and sketch-guided expansion around an unfiltered beam.
 
-Two families. Traversals run one Arrow kernel per shard, which links the
-shard's vectors into a neighbour graph and walks it with a beam; shards are
-merged by rank. Post-filter searches take such a beam, keep what matches and
-widen around each beam node by one or two hops, as the sketches of its clusters
-advise; they are joins throughout.
+Two families. Traversals walk each shard's graph with the predicate in hand.
+Post-filter searches take an unfiltered beam, keep what matches and widen
+around each beam node by one or two hops, as the sketches of its clusters
+advise; attributes are fetched for reached ids only. Queries that end up with
+fewer than ``k`` results are finished by a traversal.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import l2
+from ..functions.columns import dynamic_threshold, l2
 from ..session import materialise
 from . import sketches
-from .graph import expand, hops
-from .search import _exact, _kernel, _mask, predicate, ranked
-
-
-class ShardGraph:
-    """Symmetric neighbour graph over the vectors of one shard, with the hash-drawn upper layer as entry points."""
-
-    def __init__(self, x: np.ndarray, ids: np.ndarray, m: int, metric: str = "l2") -> None:
-        self.x, self.ids, self.metric = x, ids, metric
-        n = len(x)
-        near: list[set[int]] = [set() for _ in range(n)]
-        for at in range(0, n, 1024):
-            d = _kernel(metric, x[at : at + 1024], x)
-            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            take = np.argpartition(d, min(m, n - 1) - 1, 1)[:, : min(m, n - 1)] if n > 1 else np.zeros((len(d), 0), int)
-            for i, row in enumerate(take):
-                for j in row.tolist():
-                    near[at + i].add(j)
-                    near[j].add(at + i)
-        # links around a ring join parts that the nearest neighbours leave apart
-        self.links = [sorted(s | {(i + 1) % n, (i - 1) % n} - {i}) for i, s in enumerate(near)]
-        drawn = np.flatnonzero((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58) < 64 / m)
-        self.entries = drawn if len(drawn) else np.arange(min(1, n))
-
-    def _to(self, q: np.ndarray, at: list[int]) -> np.ndarray:
-        return _kernel(self.metric, self.x[at], q[None, :])[:, 0]
-
-    def beam(self, q: np.ndarray, ef: int, allowed: np.ndarray | None = None, widen: bool = False) -> list[tuple[float, int]]:
-        """The ``ef`` best nodes met. With ``allowed`` only those nodes are walked and returned; ``widen`` looks through the others to their neighbours."""
-        start = self.entries[np.argsort(self._to(q, self.entries.tolist()), kind="stable")[:4]].tolist()
-        seen = set(start)
-        todo = [(float(d), i) for d, i in zip(self._to(q, start), start)]
-        heapq.heapify(todo)
-        best = [(-d, i) for d, i in todo if allowed is None or allowed[i]]
-        heapq.heapify(best)
-        while todo:
-            d, i = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            fresh = []
-            for j in self.links[i]:
-                if j in seen:
-                    continue
-                seen.add(j)
-                if allowed is None or allowed[j]:
-                    fresh.append(j)
-                elif widen:
-                    for e in self.links[j]:
-                        if e not in seen and allowed[e]:
-                            seen.add(e)
-                            fresh.append(e)
-                elif not best:
-                    fresh.append(j)  # nothing that matches was met yet, so the walk goes on
-            if not fresh:
-                continue
-            for dj, j in zip(self._to(q, fresh).tolist(), fresh):
-                if len(best) < ef or dj < -best[0][0]:
-                    heapq.heappush(todo, (dj, j))
-                    if allowed is None or allowed[j]:
-                        heapq.heappush(best, (-dj, j))
-                        if len(best) > ef:
-                            heapq.heappop(best)
-        return sorted((-d, i) for d, i in best)
-
-
-def traverse(base: DataFrame, queries: DataFrame, ef: int, shards: int = 4, m: int = 16, metric: str = "l2", where: str = "none", mode: str = "plain", popularity: DataFrame | None = None, threshold: float = 0.08, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, dist): the beam of every query in every shard.
-
-    ``mode``: ``plain`` ignores the predicate, ``strict`` walks matching nodes
-    only, ``dynamic`` also looks through others where ``popularity`` (query_id,
-    popularity) is at most ``threshold``, that is for rare attributes.
-    """
-    have = ["attrs", "value"] if where != "none" else []
-    asked = queries.select("query_id", F.col("embedding").alias("q"), *[c for c in ("attrs", "lo", "hi") if where != "none"])
-    if popularity is not None:
-        asked = asked.join(popularity.select("query_id", (F.col("popularity") <= threshold).alias("rare")), "query_id", "left")
-    else:
-        asked = asked.withColumn("rare", F.lit(True))
-    spread = asked.crossJoin(base.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")))
-    placed = base.select("id", "embedding", *have, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+from .graph import hops
+from .index import GraphIndex
+from .search import predicate, ranked
 
-    def run(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(mine) and len(asking):
-            mine = mine.sort_values("id").reset_index(drop=True)
-            x, ids = np.stack(mine["embedding"].to_numpy()).astype(np.float64), mine["id"].to_numpy()
-            graph = ShardGraph(x, ids, m, metric)
-            q = np.stack(asking["q"].to_numpy()).astype(np.float64)
-            keep = None
-            if mode != "plain" and where != "none":
-                keep = _mask(where, mine, asking["attrs"].tolist(), asking["lo"].to_numpy(float), asking["hi"].to_numpy(float))
-            for j, (qid, rare) in enumerate(zip(asking["query_id"], asking["rare"])):
-                found = graph.beam(q[j], ef + 1, None if keep is None else keep[:, j], mode == "dynamic" and bool(rare))
-                at = [i for _, i in found if not (exclude_self and ids[i] == qid)][:ef]
-                out += [(qid, int(ids[i]), float(d)) for i, d in zip(at, _exact(metric, x[at], np.broadcast_to(q[j], x[at].shape)))] if at else []
-        return pd.DataFrame(out, columns=["query_id", "id", "dist"]).astype({"query_id": "int64", "id": "int64", "dist": "float64"})
+#: Share of a cluster from which on its neighbourhood is worth two hops, and the mass that does it for OR.
+THRESHOLDS = {"point": 0.08, "range": 0.5, "and": 0.2, "or": 0.1}
+OR_MASS = 0.336
+#: A query with this many times ``k`` matches in its beam is not widened.
+ENOUGH = 2
+#: Value buckets that a range is cut into.
+BUCKET = 64
 
-    return placed.groupBy("shard").cogroup(spread.groupBy("shard")).applyInPandas(run, "query_id bigint, id bigint, dist double")
 
+def ann_knn(index: GraphIndex, queries: DataFrame, k: int, ef: int, **how) -> DataFrame:
+    """(query_id, id, dist, rank): the ``k`` nearest that beams of ``ef`` find in each shard."""
+    return index.search(queries, k, ef, exclude_self=True, **how).select("query_id", "id", "dist", "rank")
 
-def ann_beam(base: DataFrame, queries: DataFrame, ef: int, **how) -> DataFrame:
-    """(query_id, id, dist, rank): the ``ef`` best over all shards."""
-    return ranked(traverse(base, queries, ef, **how), ef)
 
+def ann_beam(index: GraphIndex, queries: DataFrame, ef: int) -> DataFrame:
+    return ann_knn(index, queries, ef, ef)
 
-def ann_knn(base: DataFrame, queries: DataFrame, k: int, ef: int, **how) -> DataFrame:
-    return ranked(traverse(base, queries, max(ef, k), **how), k)
+
+def dynamic(index: GraphIndex, queries: DataFrame, k: int, ef: int, where: str, popularity: DataFrame, threshold: float) -> DataFrame:
+    """Traversal that looks through nodes that don't match where ``popularity`` (query_id, popularity) is at most ``threshold``, that is for rare attributes."""
+    rare = popularity.select("query_id", (F.col("popularity") <= threshold).alias("rare"))
+    return ann_knn(index, queries, k, ef, where=where, mode="dynamic", rare=rare)
+
+
+def threshold_for(cms: DataFrame, membership: DataFrame, ef: int) -> float:
+    """The share that divides rare from popular attributes: between the least and the largest that any cell holds, rising with the logarithm of ``ef``."""
+    bounds = sketches.cms_bounds(cms, membership).where("low is not null")
+    row = bounds.select(dynamic_threshold(F.lit(ef), F.col("low"), F.col("high")).alias("t")).first()
+    return THRESHOLDS["point"] if row is None else row["t"]
 
 
 def _cluster_shares(kind: str, queries: DataFrame, membership: DataFrame, cms: DataFrame | None, model: DataFrame | None, minhash: DataFrame | None) -> DataFrame:
     """(query_id, cluster_id, share, mass): what the sketches say of each cluster."""
     if kind == "range":
         return sketches.range_mass(queries, model).select("query_id", "cluster_id", F.col("mass").alias("share"), F.lit(0.0).alias("mass"))
-    est = sketches.cms_estimate(cms, queries.select("query_id", F.explode("attrs").alias("attr"))).join(sketches.totals(membership), "cluster_id")
+    if kind == "and":
+        both = sketches.and_overlaps(queries, cms, model, minhash).where(F.col("size") > 0)
+        return both.groupBy("query_id", "cluster_id").agg(F.max(F.col("common") / F.col("size")).alias("share")).withColumn("mass", F.lit(0.0))
+    est = sketches.cms_hits(cms, queries.select("query_id", F.explode("attrs").alias("attr"))).join(sketches.totals(membership), "cluster_id")
     point = est.groupBy("query_id", "cluster_id").agg(F.max(F.col("est") / F.col("total")).alias("share"))
     if kind == "point":
         return point.withColumn("mass", F.lit(0.0))
     mass = sketches.range_mass(queries, model)
-    if kind == "or":
-        return point.join(mass, ["query_id", "cluster_id"], "full").select("query_id", "cluster_id", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    return point.join(mass, ["query_id", "cluster_id"]).select("query_id", "cluster_id", (F.col("share") * F.col("mass")).alias("share"), F.lit(0.0).alias("mass"))
+    return point.join(mass, ["query_id", "cluster_id"], "full").select("query_id", "cluster_id", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
 
 
-THRESHOLDS = {"point": 0.08, "range": 0.5, "and": 0.2, "or": 0.1}
-OR_MASS = 0.336
+def masks(base: DataFrame, queries: DataFrame, where: str, exclude_self: bool = True) -> DataFrame:
+    """(query_id, id) that match: equal attributes meet in a join, ranges by value buckets of growing width and then exactly."""
+    point = base.select("id", F.explode("attrs").alias("attr")).join(queries.select("query_id", F.explode("attrs").alias("attr")), "attr").select("query_id", "id").distinct()
+    place = lambda v: (F.signum(v) * F.floor(F.log2(F.abs(v.cast("double")) + 1) * BUCKET)).cast("bigint")
+    asked = queries.where(F.col("lo") <= F.col("hi")).select("query_id", "lo", "hi", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi")))).alias("bucket"))
+    held = base.where(F.col("value").isNotNull()).select("id", "value", place(F.col("value")).alias("bucket"))
+    within = held.join(asked, "bucket").where(F.col("value").between(F.col("lo"), F.col("hi"))).select("query_id", "id")
+    if where == "point":
+        found = point
+    elif where == "range":
+        found = within
+    elif where == "and":
+        bounds = queries.select("query_id", "lo", "hi")
+        found = point.join(base.select("id", "value"), "id").join(bounds, "query_id").where(F.col("value").between(F.col("lo"), F.col("hi"))).select("query_id", "id")
+    else:
+        found = point.unionByName(within).distinct()
+    return found.where(F.col("id") != F.col("query_id")) if exclude_self else found
 
 
-def masks(base: DataFrame, queries: DataFrame, where: str, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id) that match."""
-    q = queries.select("query_id", F.col("attrs").alias("q_attrs"), "lo", "hi")
-    cond = predicate(where, F.col("attrs"), F.col("value"), F.col("q_attrs"), F.col("lo"), F.col("hi"))
-    return base.select("id", "attrs", "value").join(q, cond & (F.col("id") != F.col("query_id")) if exclude_self else cond).select("query_id", "id")
+def _tested(found: DataFrame, base: DataFrame, queries: DataFrame, where: str) -> DataFrame:
+    """(query_id, id, dist) of the reached pairs that match; vectors and attributes are fetched for reached ids only."""
+    q = queries.select("query_id", F.col("embedding").alias("q"), F.col("attrs").alias("q_attrs"), "lo", "hi")
+    held = found.join(base.select("id", "embedding", "attrs", "value"), "id").join(q, "query_id")
+    good = held.where(predicate(where, F.col("attrs"), F.col("value"), F.col("q_attrs"), F.col("lo"), F.col("hi")) & (F.col("id") != F.col("query_id")))
+    return good.select("query_id", "id", l2(F.col("embedding"), F.col("q")).alias("dist"))
 
 
-def _finish(found: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    held = found.join(base.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    return ranked(held.select("query_id", "id", l2(F.col("embedding"), F.col("q")).alias("dist")), k)
+def _completed(found: DataFrame, index: GraphIndex, queries: DataFrame, where: str, k: int, ef: int) -> DataFrame:
+    """The ``k`` best of ``found`` (query_id, id, dist); queries that lack some are walked with the predicate."""
+    found = materialise(found, "found")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    lacking = materialise(queries.join(full, "query_id", "left_anti"), "lacking")
+    if lacking.isEmpty():
+        return ranked(found, k)
+    more = ann_knn(index, lacking, k, ef, where=where, mode="dynamic").select("query_id", "id", "dist")
+    return ranked(found.unionByName(more).dropDuplicates(["query_id", "id"]), k)
 
 
-def predictive(base: DataFrame, queries: DataFrame, edges: DataFrame, membership: DataFrame, where: str, k: int, ef: int, cms: DataFrame | None = None, model: DataFrame | None = None, minhash: DataFrame | None = None, threshold: float | None = None, always_two: bool = False) -> DataFrame:
-    """Post-filter search: beam, mask, then one hop around each beam node, or two where its cluster is promising.
+def predictive(index: GraphIndex, base: DataFrame, queries: DataFrame, edges: DataFrame, membership: DataFrame, where: str, k: int, ef: int, cms: DataFrame | None = None, model: DataFrame | None = None, minhash: DataFrame | None = None, threshold: float | None = None, always_two: bool = False) -> DataFrame:
+    """Post-filter search: beam, then one hop around each beam node, or two where its cluster is promising.
 
-    A node's cluster is that of its clusters with the largest share; for all but
-    ``or`` only the nearest beam node of a cluster goes two hops.
+    Queries with ``ENOUGH * k`` matches in their beam are done: nothing outside
+    it is nearer. A node's cluster is that of its clusters with the largest
+    share; for all but ``or`` only the nearest beam node of a cluster goes two
+    hops. For AND the share is that of the attribute's fingerprints that also
+    occur in the range's deciles.
     """
     limit = THRESHOLDS[where] if threshold is None else threshold
-    beam = materialise(ann_beam(base, queries, ef), "beam")
-    mask = masks(base, queries, where)
+    beam = materialise(ann_beam(index, queries, ef).select("query_id", "id", "rank"), "beam")
+    inside = materialise(_tested(beam.select("query_id", "id"), base, queries, where), "inside")
+    done = inside.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH * k)
+    todo = beam.join(done, "query_id", "left_anti")
     if always_two:
-        reached = expand(beam, edges, mask, 2)
+        reached = hops(todo, edges, 2)
     else:
         share = _cluster_shares(where, queries, membership, cms, model, minhash)
         best = F.row_number().over(W.partitionBy("query_id", "id").orderBy(F.desc_nulls_last("share"), F.desc_nulls_last("mass"), "cluster_id"))
-        noted = beam.join(membership, "id", "left").join(share, ["query_id", "cluster_id"], "left").withColumn("b", best).where("b = 1")
-        wide = F.coalesce(F.col("share"), F.lit(0.0)) > limit
+        noted = todo.join(membership, "id", "left").join(share, ["query_id", "cluster_id"], "left").withColumn("b", best).where("b = 1")
+        wide: Column = F.coalesce(F.col("share"), F.lit(0.0)) > limit
         if where == "or":
             wide = wide | (F.coalesce(F.col("mass"), F.lit(0.0)) > OR_MASS)
         else:
             wide = wide & (F.row_number().over(W.partitionBy("query_id", "cluster_id").orderBy("rank")) == 1)
-        noted = noted.select("query_id", "id", wide.alias("wide"))
-        one, two = noted.where("not wide"), noted.where("wide")
-        reached = hops(one, edges, 1).unionByName(hops(two, edges, 2)).distinct().join(mask, ["query_id", "id"], "left_semi")
-    found = beam.select("query_id", "id").join(mask, ["query_id", "id"], "left_semi").unionByName(reached).distinct()
-    return _finish(found, base, queries, k)
-
-
-def cluster_first(base: DataFrame, queries: DataFrame, edges: DataFrame, membership: DataFrame, seeds: DataFrame, cms: DataFrame, clusters: int, k: int, where: str = "point") -> DataFrame:
-    """For rare attributes: the clusters with most estimated matches, their seeds with all within two hops, masked and ranked."""
-    top = sketches.top_clusters(queries, cms, clusters).select("query_id", "cluster_id")
-    start = top.join(seeds.select("cluster_id", "id"), "cluster_id").select("query_id", "id").distinct()
-    reached = start.unionByName(hops(start, edges, 2)).distinct().join(masks(base, queries, where), ["query_id", "id"], "left_semi")
-    return _finish(reached, base, queries, k)
+        noted = materialise(noted.select("query_id", "id", wide.alias("wide")), "noted")
+        reached = hops(noted.where("not wide"), edges, 1).unionByName(hops(noted.where("wide"), edges, 2)).distinct()
+    fresh = reached.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return _completed(inside.unionByName(_tested(fresh, base, queries, where)), index, queries, where, k, ef)
+
+
+def cluster_first(base: DataFrame, queries: DataFrame, edges: DataFrame, membership: DataFrame, seeds: DataFrame, cms: DataFrame, clusters: int, k: int, where: str = "point", half: bool = False) -> DataFrame:
+    """For rare attributes: the clusters with most estimated matches, their seeds with all within two hops, tested and ranked.
+
+    With ``half`` clusters are taken, in the order of their estimates, only
+    while those before them hold less than half of all estimated matches.
+    """
+    top = sketches.top_clusters(queries, cms, clusters)
+    if half:
+        w = W.partitionBy("query_id").orderBy("rank")
+        upto = F.sum("est").over(w.rowsBetween(W.unboundedPreceding, -1))
+        top = top.withColumn("upto", F.coalesce(upto, F.lit(0))).withColumn("all", F.sum("est").over(W.partitionBy("query_id"))).where((F.col("upto") * 2 < F.col("all")) & (F.col("est") > 0))
+    start = top.select("query_id", "cluster_id").join(seeds.select("cluster_id", "id"), "cluster_id").select("query_id", "id").distinct()
+    reached = start.unionByName(hops(start, edges, 2)).distinct()
+    return ranked(_tested(reached, base, queries, where), k)
 
 
 def choose(selectivity: float, rows: int, k: int, clustered: bool = False) -> str:

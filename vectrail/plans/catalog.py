@@ -79,43 +79,75 @@ IP = "1 - " + DOT.format(a="base.embedding", b="q.q_embedding")
 NORM = f"sqrt({DOT.format(a='base.embedding', b='base.embedding')} * {DOT.format(a='q.q_embedding', b='q.q_embedding')})"
 COSINE = f"1 - {DOT.format(a='base.embedding', b='q.q_embedding')} / {NORM}"
 OTHER = "base.id <> q.query_id"
+#: Squared distance within which a query has some tens of neighbours.
+RADIUS = 1.5
 POINT = "list_has_any(base.attrs, q.q_attrs)"
 RANGE = "base.value BETWEEN q.lo AND q.hi"
 CONDITIONS = {"point": POINT, "range": RANGE, "and": f"{POINT} AND {RANGE}", "or": f"({POINT} OR {RANGE})"}
 
 # ---------------------------------------------------------------- scans and parsing
 
-_ROW_TEXT = "array_to_string(list_transform(e.embedding, lambda x: x::VARCHAR), ',')"
 
+def _csv(spark: SparkSession, sf: str, name: str, lines: DataFrame) -> str:
+    """A semicolon file with a header line of ``lines`` (id, value), in the order of the ids; written once."""
 
-@query("scan_embeddings", "SELECT vec_id AS id, len(embedding)::BIGINT AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
-def scan_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors through their text form: bad elements null, rows that don't fit dropped."""
+    def make() -> str:
+        path = scratch_path(spark, name)
+        head = spark.createDataFrame([(-1, "header")], "id bigint, value string")
+        head.unionByName(lines.select("id", "value")).repartition(1).sortWithinPartitions("id").select("value").write.text(path)
+        return path
+
+    return X.once(spark, sf, name, make)
+
+
+def _numbers(c: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def _scanned(spark: SparkSession, sf: str, kind: str, lines: DataFrame, dim: int | None = None) -> DataFrame:
     from ..sources import files
 
-    e = X.vectors(spark, sf)
-    text = F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",")
-    noise = e.where("id < 3").select("id", F.lit("1,x,3").alias("t"))
-    parsed = files.fitting(e.select("id", text.alias("t")).unionByName(noise).select("id", files.vector(F.col("t")).alias("embedding")), 64)
+    return files.scan_layout(spark, _csv(spark, sf, f"csv-{kind}", lines), kind, dim)
+
+
+@query("scan_embeddings", "SELECT vec_id AS id, len(embedding)::BIGINT AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
+def scan_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """A dataset file, its ids the numbers of the lines; lines with bad elements or another number of them are dropped."""
+    e = X.vectors(spark, sf).select("id", F.concat(F.lit("x;"), _numbers(F.col("embedding")), F.lit(";y;pop;z;1;w")).alias("value"))
+    bad = e.where("id < 3").select((F.col("id") + 1_000_000_000).alias("id"), F.lit("x;[1,oops,3];y;;z;;w").alias("value"))
+    parsed = _scanned(spark, sf, "dataset", e.unionByName(bad), 64)
     total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return parsed.select("id", _b(F.size("embedding")).alias("dim"), F.round(total, 5).alias("total"))
 
 
 @query("scan_attrs", X.SEED + " SELECT id, array_to_string(attrs, ',') AS attrs FROM base")
 def scan_attrs(spark: SparkSession, sf: str) -> DataFrame:
-    return X.base(spark, sf).select("id", F.array_join("attrs", ",").alias("attrs"))
+    """A metadata file of one column: the attributes of line n are those of vector n."""
+    text = F.concat(F.lit("'"), F.array_join(F.transform("attrs", F.upper), " ', \""), F.lit("\""))
+    return _scanned(spark, sf, "point_metadata", X.base(spark, sf).select("id", text.alias("value"))).select("id", F.array_join("attrs", ",").alias("attrs"))
 
 
-@query("scan_value", "SELECT doc_id AS id, n_chars::INTEGER AS value FROM documents")
+@query("scan_value", X.SEED + " SELECT id, value FROM base")
 def scan_value(spark: SparkSession, sf: str) -> DataFrame:
-    return X.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("string").cast("int").alias("value"))
+    """A metadata file of vectors and whole numbers."""
+    text = F.concat_ws(";", _numbers(F.slice("embedding", 1, 2)), F.col("value").cast("string"))
+    return _scanned(spark, sf, "range_metadata", X.base(spark, sf).select("id", text.alias("value"))).select("id", F.col("strict_value").alias("value"))
 
 
-@query("scan_hybrid", "SELECT doc_id AS id, lower(lang) || ',' || lower(source) AS attrs, coalesce(try_cast(CASE WHEN doc_id % 5 = 0 THEN 'bad' ELSE n_chars::VARCHAR END AS INTEGER), 0) AS value FROM documents")
+@query("scan_hybrid", X.SEED + " SELECT id, array_to_string(attrs, ',') AS attrs, CASE WHEN id % 5 = 0 THEN 0 ELSE value END AS value FROM base")
 def scan_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    d = X.read(spark, sf, "documents")
-    text = F.when(F.col("doc_id") % 5 == 0, "bad").otherwise(F.col("n_chars").cast("string"))
-    return d.select(F.col("doc_id").alias("id"), F.array_join(C.tokens(F.concat_ws(", ", "lang", "source")), ",").alias("attrs"), F.coalesce(text.try_cast("int"), F.lit(0)).alias("value"))
+    """Vectors, attributes and numbers, some of which aren't any and count as 0."""
+    number = F.when(F.col("id") % 5 == 0, "bad").otherwise(F.col("value").cast("string"))
+    text = F.concat_ws(";", _numbers(F.slice("embedding", 1, 2)), F.array_join("attrs", ", "), number)
+    return _scanned(spark, sf, "and_metadata", X.base(spark, sf).select("id", text.alias("value"))).select("id", F.array_join("attrs", ",").alias("attrs"), "value")
+
+
+@query("scan_queries", X.SEED + " SELECT query_id AS id, array_to_string(q_attrs, ',') AS attrs, lo, hi FROM q")
+def scan_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of queries with attributes and bounds."""
+    q = X.queries(spark, sf)
+    text = F.concat_ws(";", _numbers(F.slice("embedding", 1, 2)), F.array_join("attrs", ","), F.col("lo").cast("string"), F.col("hi").cast("string"))
+    return _scanned(spark, sf, "and_queries", q.select(F.col("query_id").alias("id"), text.alias("value"))).select("id", F.array_join("attrs", ",").alias("attrs"), "lo", "hi")
 
 
 @query("tokenize", """SELECT page_id, array_to_string(list_filter(list_transform(string_split(lower(regexp_replace(url, '["'']', '', 'g')), '/'), lambda x: trim(x)), lambda x: x <> ''), ',') AS tokens FROM pages""")
@@ -210,9 +242,9 @@ def farthest_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("epsilon_search", f"""{X.SEED}, met AS (SELECT q.query_id, base.id, {L2} AS dist FROM base JOIN q ON {OTHER})
-SELECT query_id, id, round(dist, 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM met WHERE dist <= 1.0) WHERE rank <= 50""")
+SELECT query_id, id, round(dist, 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM met WHERE dist <= {RADIUS}) WHERE rank <= 50""")
 def epsilon_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(search.within_radius(X.vectors(spark, sf), X.queries(spark, sf).select("query_id", "embedding"), 1.0, 50, exclude_self=True))
+    return _out(search.within_radius(X.vectors(spark, sf), X.queries(spark, sf).select("query_id", "embedding"), RADIUS, 50, exclude_self=True))
 
 
 def _multi(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -329,7 +361,7 @@ def _edge(df: DataFrame) -> DataFrame:
 
 @query("knn_graph", X.GRAPH + " SELECT src, dst, round(dist, 6) AS dist, ord FROM edges")
 def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return _edge(X.edges(spark, sf))
+    return _edge(graph.knn_graph(X.vectors(spark, sf), X.M))
 
 
 @query("graph_symmetric", X.GRAPH + ", u AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM edges UNION ALL SELECT dst, src, dist FROM edges) GROUP BY ALL) SELECT src, dst, round(dist, 6) AS dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS ord FROM u")
@@ -570,35 +602,63 @@ def cluster_per_seed(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- approximate and filtered search
 
 
+@query("index_build")
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements, levels and links of the stored graph index."""
+    return X.index(spark, sf).counts()
+
+
+@query("index_edges")
+def index_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return X.links(spark, sf).select("src", "dst", F.round("dist", 6).alias("dist"), "ord")
+
+
 @query("ann_knn")
 def ann_knn(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(strategies.ann_knn(X.base(spark, sf), X.queries(spark, sf), 10, 64))
+    return _out(strategies.ann_knn(X.index(spark, sf), X.queries(spark, sf), 10, 64))
 
 
 @query("ann_beam")
 def ann_beam(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(strategies.ann_beam(X.base(spark, sf), X.queries(spark, sf), 64))
+    return _out(strategies.ann_beam(X.index(spark, sf), X.queries(spark, sf), 64))
 
 
 @query("ann_strict")
 def ann_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(strategies.ann_knn(X.base(spark, sf), X.queries(spark, sf), 10, 64, where="point", mode="strict"))
+    return _out(strategies.ann_knn(X.index(spark, sf), X.queries(spark, sf), 10, 64, where="point", mode="strict"))
+
+
+@query("ann_radius")
+def ann_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return _out(X.index(spark, sf).search(X.queries(spark, sf), 50, 128, exclude_self=True, within=RADIUS))
+
+
+@query("ann_after_update")
+def ann_after_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Search after a tenth of the vectors were negated in place, some deleted and some added."""
+
+    def make():
+        b = X.base(spark, sf)
+        moved = b.where("id % 10 = 7").withColumn("embedding", F.transform("embedding", lambda x: -x))
+        added = b.where("id % 10 = 3").withColumn("id", F.col("id") + 1_000_000)
+        copy = strategies.GraphIndex.build(b, X.index(spark, sf).config)
+        return copy.add_items(moved.unionByName(added)).mark_deleted(b.where("id % 10 = 5 and id >= 20").select("id"))
+
+    return _out(strategies.ann_knn(X.once(spark, sf, "updated", make), X.queries(spark, sf), 10, 64))
 
 
 @query("search_dynamic")
 def search_dynamic(spark: SparkSession, sf: str) -> DataFrame:
-    m, cms = _sketched(spark, sf)
+    m, (cms, _, _) = X.clusters(spark, sf), X.cluster_sketches(spark, sf)
     popular = sketches.popularity_point(X.queries(spark, sf), cms, m)
-    return _out(strategies.ann_knn(X.base(spark, sf), X.queries(spark, sf), 10, 64, where="point", mode="dynamic", popularity=popular, threshold=0.3))
+    return _out(strategies.dynamic(X.index(spark, sf), X.queries(spark, sf), 10, 64, "point", popular, strategies.threshold_for(cms, m, 64)))
 
 
 def _predictive(where: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        b, e = X.base(spark, sf), X.edges(spark, sf)
-        m = sketches.neighbourhood_membership(e)
-        cms = materialise(sketches.cms_build(m, b), "cms") if where != "range" else None
-        model = materialise(sketches.linear_model(sketches.cluster_cdf(m, b)), "cdf-model") if where != "point" else None
-        return _out(strategies.predictive(b, X.queries(spark, sf), e, m, where, 10, 64, cms, model))
+        m, (cms, model, minhash) = X.clusters(spark, sf).select("id", "cluster_id"), X.cluster_sketches(spark, sf)
+        limit = strategies.threshold_for(cms, m, 64) if where == "point" else None
+        return _out(strategies.predictive(X.index(spark, sf), X.base(spark, sf), X.queries(spark, sf), X.links(spark, sf), m, where, 10, 64, cms, model, minhash, limit))
 
     return run
 
@@ -609,8 +669,15 @@ for _where in ("point", "range", "and", "or"):
 
 @query("search_pf_two_hop")
 def search_pf_two_hop(spark: SparkSession, sf: str) -> DataFrame:
-    e = X.edges(spark, sf)
-    return _out(strategies.predictive(X.base(spark, sf), X.queries(spark, sf), e, sketches.neighbourhood_membership(e), "point", 10, 64, always_two=True))
+    m = X.clusters(spark, sf).select("id", "cluster_id")
+    return _out(strategies.predictive(X.index(spark, sf), X.base(spark, sf), X.queries(spark, sf), X.links(spark, sf), m, "point", 10, 64, always_two=True))
+
+
+@query("search_cluster_greedy")
+def search_cluster_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster-first over the greedy clusters, their seeds and their sketches, with the exit at half of the matches."""
+    m, (cms, _, _) = X.clusters(spark, sf), X.cluster_sketches(spark, sf)
+    return _out(strategies.cluster_first(X.base(spark, sf), X.queries(spark, sf), X.links(spark, sf), m, m.where("is_seed"), cms, 40, 10, half=True))
 
 
 _CLUSTER_FIRST_SQL = (

@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, sketches
+from ..operators.index import GraphIndex
+from ..operators.table import IndexConfig
 from ..session import materialise
 
 M = 8
+#: What is built once per application and data, as an index is: the stored graph, its clusters and their sketches.
+_READY: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _READY:
+        _READY[key] = make()
+    return _READY[key]
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,7 +48,31 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """The graph is an index: it is written once and read by every operator that walks it."""
-    return materialise(graph.knn_graph(vectors(spark, sf), M), "edges")
+    return once(spark, sf, "edges", lambda: materialise(graph.knn_graph(vectors(spark, sf), M), "edges"))
+
+
+def index(spark: SparkSession, sf: str) -> GraphIndex:
+    return once(spark, sf, "index", lambda: GraphIndex.build(base(spark, sf), IndexConfig(64, m=16, ef_construction=64)))
+
+
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """The links of the stored index's lowest level."""
+    return once(spark, sf, "links", lambda: materialise(index(spark, sf).edges(), "links"))
+
+
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy clusters over the stored index, shard by shard."""
+    return once(spark, sf, "clusters", lambda: materialise(sketches.greedy_clusters(links(spark, sf), 100, "shard"), "clusters"))
+
+
+def cluster_sketches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(count-min cells, linear CDF models, min-hashes by decile) of the greedy clusters."""
+
+    def make() -> tuple[DataFrame, DataFrame, DataFrame]:
+        m, b = clusters(spark, sf).select("id", "cluster_id"), base(spark, sf)
+        return tuple(materialise(t, "sketch") for t in (sketches.cms_build(m, b), sketches.linear_model(sketches.cluster_cdf(m, b)), sketches.bottom_k(m, b)))
+
+    return once(spark, sf, "sketches", make)
 
 
 def membership(spark: SparkSession, sf: str) -> DataFrame:

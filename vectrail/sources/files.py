@@ -33,10 +33,25 @@ def fitting(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
     return df.where((F.size(column) == dim) & ~F.exists(column, lambda x: x.isNull()))
 
 
+def numbered(df: DataFrame, name: str = "id") -> DataFrame:
+    """``df`` with the number of each line, from 0 on: its place in its split plus the lines of the splits before, which a first pass counts."""
+    split = F.shiftright(F.monotonically_increasing_id(), 33)
+    sizes = {r["p"]: r["count"] for r in df.select(split.alias("p")).groupBy("p").count().collect()}
+    before, upto = {}, 0
+    for p in sorted(sizes):
+        before[p], upto = upto, upto + sizes[p]
+    if not before:
+        return df.select(F.lit(0).cast("bigint").alias(name), "*")
+    offset = F.create_map(*[x for p, n in before.items() for x in (F.lit(p).cast("bigint"), F.lit(n).cast("bigint"))])
+    at = F.monotonically_increasing_id()
+    return df.select((offset[F.shiftright(at, 33)] + at.bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))).alias(name), "*")
+
+
 def _named(df: DataFrame, layout: dict[str, int], id_column: int | None, **parse) -> DataFrame:
     items = [parse[n](F.col(f"c{i}")).alias(n) for n, i in layout.items()]
-    key = F.col(f"c{id_column}").cast("bigint") if id_column is not None else F.monotonically_increasing_id()
-    return df.select(key.alias("id"), *items)
+    if id_column is not None:
+        return df.select(F.col(f"c{id_column}").cast("bigint").alias("id"), *items)
+    return numbered(df).select("id", *items)
 
 
 def _int_or_zero(c: Column) -> Column:
@@ -47,7 +62,9 @@ PARSERS = {"embedding": vector, "attrs": tokens, "value": _int_or_zero, "strict_
 
 
 def scan(spark: SparkSession, path: str, columns: int, layout: dict[str, int], dim: int | None = None, id_column: int | None = None) -> DataFrame:
-    """``layout`` names the columns: embedding, attrs, value (bad numbers 0), strict_value (bad numbers fail), lo, hi.
+    """Without ``id_column`` the number of the line is the id, so files that describe the same rows line by line join on it.
+
+    ``layout`` names the columns: embedding, attrs, value (bad numbers 0), strict_value (bad numbers fail), lo, hi.
 
     With ``dim``, rows whose vector doesn't fit are dropped.
     """
@@ -63,7 +80,7 @@ LAYOUTS: dict[str, tuple[int, dict[str, int]]] = {
     "range_metadata": (2, {"embedding": 0, "strict_value": 1}),
     "range_queries": (3, {"embedding": 0, "lo": 1, "hi": 2}),
     "and_metadata": (3, {"embedding": 0, "attrs": 1, "value": 2}),
-    "and_queries": (2, {"embedding": 0, "attrs": 1}),
+    "and_queries": (4, {"embedding": 0, "attrs": 1, "lo": 2, "hi": 3}),
     "or_metadata": (7, {"embedding": 1, "attrs": 3, "value": 5}),
     "or_queries": (6, {"embedding": 1, "lo": 3, "hi": 4, "attrs": 5}),
     "creation": (3, {"attrs": 1, "embedding": 2}),
