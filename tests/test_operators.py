@@ -224,3 +224,18 @@ def test_generators(spark):
     assert got == {1: 100, 3: 300, 5: 500, -1: 100}
     summary = evaluate.recall_summary(spark.createDataFrame([(20, 1, 10), (20, 2, 5)], "ef int, query_id bigint, match bigint")).first()
     assert summary.recall == 0.75
+
+
+def test_curves_counts_and_points(spark):
+    ids = spark.range(2000)
+    for kind in ("uniform", "exponential", "normal", "steps"):
+        made = evaluate.curve(ids, kind)
+        low, high, n = made.agg(F.min("value"), F.max("value"), F.countDistinct("value")).first()
+        assert 0 <= low <= high <= 1000 and (n == 5 if kind == "steps" else n > 200)
+        cdf = sketches.cluster_cdf(ids.select("id", F.lit(0).alias("cluster_id")), made)
+        errors = {r.kind: r.mae for r in evaluate.compare_models(cdf).collect()}
+        assert set(errors) == {"linear", "piecewise", "quantile"} and errors["piecewise"] <= errors["linear"] + 2e-3
+    counted = {r.value: r["count"] for r in evaluate.by_count(ids, {v: v for v in range(1, 13)}).groupBy("value").count().collect()}
+    assert counted == {0: 2000 - 78, **{v: v for v in range(1, 13)}}
+    points = spark.createDataFrame([("a", 20, 0.7, 9.0), ("a", 40, 0.9, 5.0), ("b", 20, 0.8, 7.0)], "method string, ef int, recall double, qps double")
+    assert [(r.method, r.ef) for r in evaluate.reaching(points).collect()] == [("a", 40), ("b", 20)]

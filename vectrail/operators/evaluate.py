@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import materialise
+from . import search, sketches
+from .index import GraphIndex
+
 
 def recall_per_query(results: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     """(ef, query_id, match): distinct results among the first ``k`` true ones; queries without results count 0 for every ef."""
@@ -61,3 +67,61 @@ def value_distribution(rows: DataFrame, value: str) -> DataFrame:
 def correlation_attach(farthest: DataFrame) -> DataFrame:
     """(id, queries): for each row the queries that it is among the farthest of, as a comma list."""
     return farthest.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("query_id")), lambda x: x.cast("string")), ",").alias("queries"))
+
+
+def sweep(index: GraphIndex, base: DataFrame, queries: DataFrame, k: int, efs: tuple[int, ...], where: str = "none", mode: str = "plain") -> list[dict[str, float]]:
+    """Seconds, queries a second and recall of one batch of ``queries`` per ef, then of the exact search, which gives the truth."""
+    n = queries.count()
+    began = time.monotonic()
+    truth = materialise(search.top_k(base, queries, k, index.config.metric, where, exclude_self=True), "truth")
+    exact = time.monotonic() - began
+    out = []
+    for ef in efs:
+        began = time.monotonic()
+        found = materialise(index.search(queries, k, ef, where, mode, exclude_self=True).select(F.lit(ef).alias("ef"), "query_id", "id"), "found")
+        took = time.monotonic() - began
+        recall = recall_summary(recall_per_query(found, truth, k), k).first()
+        out.append({"ef": ef, "seconds": round(took, 3), "qps": round(n / took, 1), "recall": round(recall["recall"], 4) if recall else 0.0})
+    return [*out, {"ef": 0, "seconds": round(exact, 3), "qps": round(n / exact, 1), "recall": 1.0}]
+
+
+def reaching(points: DataFrame, least: float = 0.8) -> DataFrame:
+    """Of (method, ef, recall, qps) the points with at least the given recall, in the order of ef."""
+    return points.where(F.col("recall") >= least).orderBy("method", "ef")
+
+
+def compare_models(cdf: DataFrame, tau: float = 0.5) -> DataFrame:
+    """(kind, mae, clusters): the mean over clusters of each model's mean error on a CDF: one line, three, and a quantile line."""
+    lines = sketches.piecewise_model(cdf)
+    probes = cdf.select("cluster_id", "value", F.col("cdf").alias("actual"))
+    piecewise = sketches.predict_piecewise(probes, lines, "value").withColumn("difference", F.abs(F.col("actual") - F.col("cdf")))
+    of = lambda audited, kind: sketches.mean_error(audited).select(F.lit(kind).alias("kind"), "mae", "clusters")
+    linear = of(sketches.audit(cdf, sketches.linear_model(cdf)), "linear")
+    quantile = of(sketches.audit(cdf, sketches.quantile_model(cdf, tau)), "quantile")
+    return linear.unionByName(of(piecewise, "piecewise")).unionByName(quantile)
+
+
+def curve(rows: DataFrame, kind: str, seed: int = 1, most: int = 1000, key: str = "id") -> DataFrame:
+    """(id, value) along a synthetic distribution of the ids: ``uniform``, ``exponential``, ``normal`` or ``steps``."""
+    u = (mixed(F.col(key), seed) + 0.5) / F.lit(2147483647.0)
+    v = (mixed(F.col(key), seed + 1) + 0.5) / F.lit(2147483647.0)
+    value = {
+        "uniform": u * most,
+        "exponential": F.least(F.lit(float(most)), -F.log(u) * most / 6),
+        "normal": F.least(F.lit(float(most)), F.greatest(F.lit(0.0), most / 2 + most / 8 * F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v))),
+        "steps": F.floor(u * 5) * most / 5,
+    }[kind]
+    return rows.select(key, F.floor(value).cast("int").alias("value"))
+
+
+def by_count(rows: DataFrame, counts: dict[int, int], otherwise: int = 0, seed: int = 1, key: str = "id") -> DataFrame:
+    """(id, value): value v for exactly ``counts[v]`` rows, in the order of a shuffle of the ids; ``otherwise`` for the rest."""
+    wanted = sum(counts.values())
+    first = rows.select(key, mixed(F.col(key), seed).alias("m")).orderBy("m", key).limit(wanted)
+    place = F.row_number().over(W.orderBy("m", key))
+    value, upto = None, 0
+    for v, n in counts.items():
+        upto += n
+        value = F.when(F.col("r") <= upto, v) if value is None else value.when(F.col("r") <= upto, v)
+    chosen = first.withColumn("r", place).select(F.col(key).alias("c_id"), (value if value is not None else F.lit(otherwise)).alias("v"))
+    return rows.join(F.broadcast(chosen) if wanted < 1_000_000 else chosen, F.col(key) == F.col("c_id"), "left").select(key, F.coalesce("v", F.lit(otherwise)).alias("value"))

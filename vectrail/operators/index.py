@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
 from .search import _exact, _kernel, _mask, ranked
-from .table import IndexConfig
+from .table import IndexConfig, _checked
 
 ROWS_PER_SHARD = 50_000
 _NEAR = "query_id bigint, id bigint, dist double, hops bigint, distances bigint"
@@ -475,13 +475,11 @@ class GraphIndex:
         return self._changed(vectors, use)
 
     def _flagged(self, ids: DataFrame, deleted: bool) -> GraphIndex:
+        """Unknown ids, and ids already in that state, are errors."""
+        _checked(self.rows(), ids, deleted)
+
         def use(g: Graph | None, new: pd.DataFrame, facts: dict) -> tuple[Graph, dict]:
-            if g is None or any(i not in g.row for i in new["id"].tolist()):
-                raise KeyError("ids that are not in the index")
-            at = [g.row[i] for i in new["id"].unique().tolist()]
-            if (g.deleted[at] == deleted).any():
-                raise ValueError(f"ids that are {'already' if deleted else 'not'} deleted")
-            g.deleted[at] = deleted
+            g.deleted[[g.row[i] for i in new["id"].tolist()]] = deleted
             return g, facts
 
         return self._changed(ids.select("id"), use)
@@ -496,9 +494,9 @@ class GraphIndex:
         """New elements (id, embedding) take the places of deleted ones in their shards, smallest ids first; the rest are inserted."""
         if not self.config.allow_replace_deleted:
             raise ValueError("replacement of deleted elements is disabled")
+        c = self.config
 
         def use(g: Graph | None, new: pd.DataFrame, facts: dict) -> tuple[Graph, dict]:
-            c = self.config
             new = new.drop_duplicates("id", keep="last").sort_values("id")
             if g is None:
                 return Graph(np.stack(new["embedding"].to_numpy()), new["id"].to_numpy(), c.m, c.ef_construction, c.seed, c.metric), facts

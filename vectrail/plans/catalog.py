@@ -527,6 +527,19 @@ def cdf_mae(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.mean_error(sketches.audit(cdf, sketches.linear_model(cdf))).select(F.round("mae", 6).alias("mae"), "clusters")
 
 
+_PIECES_SQL = """, tiled AS (SELECT *, ntile(3) OVER (PARTITION BY cluster_id ORDER BY value) AS piece FROM cdf),
+pieces AS (SELECT cluster_id, piece, min(value)::DOUBLE AS x0, max(value)::DOUBLE AS x1, CASE WHEN count(*) > 1 THEN regr_slope(cdf, value::DOUBLE) ELSE 0 END AS slope,
+CASE WHEN count(*) > 1 THEN regr_intercept(cdf, value::DOUBLE) ELSE max(cdf) END AS intercept FROM tiled GROUP BY cluster_id, piece)"""
+
+
+@query("cdf_compare", X.CLUSTERS + ", " + CDF_SQL + ", " + LINEAR_SQL + _AUDIT + _PIECES_SQL + f""", e AS (SELECT 'linear' AS kind, cluster_id, abs(actual - predicted) AS d FROM audit
+UNION ALL SELECT 'piecewise', t.cluster_id, abs(t.cdf - ({predict_sql('t.value')})) FROM tiled t JOIN pieces p ON p.cluster_id = t.cluster_id AND p.piece = t.piece)
+SELECT kind, round(avg(mae), 5) AS mae, count(*) AS clusters FROM (SELECT kind, cluster_id, avg(d) AS mae FROM e GROUP BY ALL) GROUP BY kind""")
+def cdf_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of one line and of three; that of the quantile line is in :func:`evaluate.compare_models`."""
+    return evaluate.compare_models(_cdf(spark, sf)).where("kind <> 'quantile'").select("kind", F.round("mae", 5).alias("mae"), "clusters")
+
+
 @query("date_ts", "SELECT o_orderkey, epoch(date_trunc('day', o_orderdate))::BIGINT AS seconds FROM orders WHERE o_orderkey % 100 = 1")
 def date_ts(spark: SparkSession, sf: str) -> DataFrame:
     o = X.read(spark, sf, "orders").where("o_orderkey % 100 = 1")
@@ -750,6 +763,13 @@ def gen_attr(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.by_share(X.vectors(spark, sf), [(1, 0.1), (3, 0.3), (5, 0.5), (-1, 0.1)])
 
 
+@query("gen_counts", f"""WITH s AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_MIXED.format(c='vec_id', s=1)}, vec_id) AS r FROM embeddings)
+SELECT id, CASE WHEN r <= 1 THEN 1 WHEN r <= 3 THEN 2 WHEN r <= 6 THEN 3 WHEN r <= 10 THEN 4 ELSE 0 END AS value FROM s""")
+def gen_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A skewed column with fixed counts: value v for exactly v rows."""
+    return evaluate.by_count(X.vectors(spark, sf), {v: v for v in range(1, 5)})
+
+
 @query("gen_query_docs", f"""SELECT e.vec_id AS id, array_to_string(list_transform(list_sort(list(q.vec_id)), lambda x: x::VARCHAR), ',') AS queries
 FROM embeddings e JOIN embeddings q ON q.vec_id < 20 WHERE {_MIXED.format(c='(e.vec_id * 1009 + q.vec_id)', s=1)} % 10 = 0 GROUP BY e.vec_id""")
 def gen_query_docs(spark: SparkSession, sf: str) -> DataFrame:
