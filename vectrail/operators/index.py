@@ -12,6 +12,7 @@ import heapq
 import io
 import json
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
@@ -329,7 +330,8 @@ class GraphIndex:
 
     def _written(self, shards: DataFrame) -> GraphIndex:
         """With the shards given in place of their former ones."""
-        folder, version = f"{self.path}/v{self.version + 1}", self.version + 1
+        version = self.version + 1
+        folder = f"{self.path}/v{version}-{uuid.uuid4().hex[:8]}"  # two indexes may be changed from one
         shards.write.partitionBy("shard").parquet(folder)
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         names = [x.getPath().getName() for x in fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(fs)]
@@ -347,6 +349,11 @@ class GraphIndex:
         held = json.loads(meta["meta"])
         return cls(spark, path, IndexConfig(**held["config"]), {int(k): v for k, v in held["files"].items()}, held["version"])
 
+    def copy_to(self, path: str) -> GraphIndex:
+        """The current version of every shard under another path."""
+        empty = replace(self, path=path, files={}, version=0)
+        return empty._written(self.shards().select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("int").alias("shard"), "n", "blob", "facts")) if self.files else empty
+
     def set_ef(self, ef: int) -> GraphIndex:
         return replace(self, config=replace(self.config, ef=ef))
 
