@@ -257,19 +257,22 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     rows = docs.select(F.col(doc_id).alias("doc"), word_count(F.col(text)).alias("n"), F.xxhash64(F.col(text)).alias("tie")).where(F.col("n") > 0)
     groups = max(1, math.ceil(docs.count() / group_size))
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc"), F.lit(groups)))
-    columns, done, base = ["doc", "piece", "from_word", "n_words", "bin_id"], [], 0
-    while True:
-        first = not base
 
-        def one(pdf: pd.DataFrame, first: bool = first) -> pd.DataFrame:
-            return _pack_group(_cut(pdf, capacity) if first else pdf, capacity, group_size, node_budget)
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pack_group(_cut(pdf, capacity), capacity, group_size, node_budget)
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pack_group(pdf, capacity, group_size, node_budget)
 
-        packed = materialise(dealt.groupBy("grp").applyInPandas(one, schema), "packed")
+    columns, done, base = ["doc", "piece", "from_word", "n_words", "bin_id"], [], 0
+    while True:
+        packed = materialise(dealt.groupBy("grp").applyInPandas(again if base else first, schema), "packed")
         if groups == 1:
             break
         done.append(packed.where("not loose").select(columns))
         base += groups
         loose = packed.where("loose")
-        groups = max(1, math.ceil(loose.count() / group_size))
+        # at most a quarter as many, so that it ends where a bin holds more documents than a group
+        groups = max(1, min(groups // 4, math.ceil(loose.count() / group_size)))
         dealt = loose.select("doc", "tie", "piece", "from_word", "n_words", (F.pmod(F.xxhash64("doc", "tie", "piece"), F.lit(groups)) + base).alias("grp"))
     return reduce(DataFrame.unionByName, done, packed.select(columns)).withColumnRenamed("doc", doc_id)
