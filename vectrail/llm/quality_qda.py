@@ -142,6 +142,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", reject_below: float = -3.0) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, with all their columns; no row is shuffled with its text."""
+    """The rows of ``docs`` that :func:`classify` keeps, with all their columns as they are, whatever their names; no row is shuffled with its text.
+
+    Null, empty and very long texts, ties, repeated rows, missing labels and empty tables are treated as there.
+    """
     model = fit(_labelled(features(docs, doc_id, text), labels, doc_id, label), "__y")
     return docs if model is None else docs.where(model.log_odds(feature_struct(F.col(text))) >= F.lit(reject_below))
