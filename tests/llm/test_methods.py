@@ -483,15 +483,45 @@ def test_chains_of_containers_end_in_the_last(spark):
     assert sorted((r.doc_id, r.kept_id) for r in near_dup.near_duplicates(df).collect()) == [(2, 1), (3, 1), (4, 1)]
 
 
-def test_bounds_never_lose_a_pair():
+def test_what_a_text_asks_with_meets_all_it_is_near_to():
     rng = np.random.default_rng(0)
     for _ in range(300):
-        n = int(rng.integers(1, 3000))
-        m = max(1, int(n * rng.uniform(0.7, 1.42)))
-        k = int(rng.integers(0, min(n, m) + 1))
-        x = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
-        a, b = np.unique(x[:n]), np.unique(np.concatenate([x[:k], x[n : n + m - k]]))
-        assert near_dup.most_overlap(near_dup.parity_bits(a), len(a), near_dup.parity_bits(b), len(b)) >= len(np.intersect1d(a, b))
+        n = int(rng.integers(1, 200))
+        x = rng.permutation(n)
+        overlap = int(rng.integers(near_dup.least_overlap(n, 0.7), n + 1))
+        other = set(rng.choice(n, overlap, replace=False).tolist())
+        alone = [i for i in x.tolist() if i not in other and rng.random() < 0.5]  # in no other text
+        shared = [i for i in x.tolist() if i not in alone]
+        assert other & set(shared[: near_dup.asked(n, len(shared), 0.7)])
+
+
+def test_no_pair_is_left_out(spark):
+    """Short texts and members of a group other than its foremost in far larger documents; edited parts right at the threshold whose shingles are crowded."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts, wanted = {}, set()
+
+    def add(words):
+        texts[len(texts)] = " ".join(words)
+        return len(texts) - 1
+
+    for _ in range(60):
+        long = [word() for _ in range(600)]
+        add(long)
+        wanted.add(add(long[50:62]))  # 12 words
+        part = long[100:202]
+        for at in range(3, 33, 3):  # 30 of 100 shingles go
+            part[at] = word()
+        wanted.add(add(part))
+        for _ in range(12):  # others that hold the rest of them
+            add([word() for _ in range(400)] + part[34:])
+    long = [word() for _ in range(900)]
+    add(long)
+    inner = long[:100]
+    foremost = inner[:75] + [word() for _ in range(30)]  # larger, not in the long one
+    wanted |= {add(foremost), add(inner)}
+    rows = near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in rows} == wanted
 
 
 def test_large_groups_and_shared_passages(spark):
@@ -564,12 +594,6 @@ def test_one_of_each_linked_group_stays(spark):
     assert len(rows) == 30 * 2 + 30
 
 
-def test_banding_reaches_its_recall():
-    for p in range(14):
-        least, rows, bands = near_dup.banding(p, 0.7)
-        assert 1 - (1 - least**rows) ** bands >= near_dup.RECALL - 1e-9
-
-
 # ---------------------------------------------------------------- 6
 
 
