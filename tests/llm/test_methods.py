@@ -594,6 +594,43 @@ def test_one_of_each_linked_group_stays(spark):
     assert len(rows) == 30 * 2 + 30
 
 
+def test_groups_in_groups_of_far_larger_ones_are_not_paired_out(spark, monkeypatch):
+    """120 near copies of a text, all in each of 80 near copies of a longer one: a few pairs a document tell, not 9600; the brute force agrees."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    long = [word() for _ in range(300)]
+    texts = {}
+
+    def copies(base, count, edits):
+        for _ in range(count):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                copy[at] = word()
+            texts[len(texts)] = " ".join(copy)
+
+    copies(long[100:180], 120, 2)
+    copies(long, 80, 3)
+    tried = []
+    compare = near_dup._contained
+    monkeypatch.setattr(near_dup, "_contained", lambda pairs, *a, **k: (tried.append(pairs.count()), compare(pairs, *a, **k))[1])
+    rows = near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.kept_id for r in rows} == _brute_force(texts)
+    assert sum(tried) < 3000
+
+
+def test_shingles_are_dealt_in_parts_and_all_shared_ones_are_listed(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(3, 40))) for _ in range(60)]
+    docs = near_dup._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text")
+    buckets = [{r.bucket for r in near_dup._sized(docs, 8, 3, part).collect() if r.counts} for part in range(near_dup.PASSES)]
+    assert near_dup.PASSES > 1 and not set.intersection(*buckets) and all(buckets)
+    made = {near_dup.content_of(t.encode().split()): set(near_dup.shingle_set(t)[0].view(np.int64).tolist()) for t in texts}
+    held = collections.Counter(x for s in made.values() for x in s)
+    wanted = {n: {x for x in s if held[x] > 1} for n, s in made.items()}
+    got = {r.num: (r.size, set(r["keys"])) for r in near_dup._shared_lists(docs, 8, 0.7, 3).collect()}
+    assert got == {n: (len(made[n]), s) for n, s in wanted.items() if s}
+
+
 # ---------------------------------------------------------------- 6
 
 
