@@ -806,6 +806,29 @@ def test_batches_and_the_agenda_agree(spark, sf, vocabulary):
     assert [sorted(taken[a:b].tolist()) for a, b in zip(ends, ends[1:])] == [sorted(t) for _, t in plain]
 
 
+def test_a_merge_looks_up_only_its_own_neighbours(vocabulary, monkeypatch):
+    """All adjacent symbols are looked up once, and then two pairs for each merge."""
+    asked, merged = [], piece_codec.Codec._merged
+    monkeypatch.setattr(piece_codec.Codec, "_merged", lambda self, left, right: asked.append(len(left)) or merged(self, left, right))
+    words = ["▁international", "▁misunderstanding", "▁the", "▁" + "x" * 30]
+    _, taken, _ = piece_codec.Codec(vocabulary).batch(words, None)
+    assert 0 < sum(asked) <= sum(len(w) - 1 for w in words) + 2 * len(taken)
+
+
+def test_odd_characters_are_spelt_in_batches(vocabulary):
+    """Bytes of characters of all lengths, a SPACE of the text itself, and words known before the cache was emptied."""
+    text = "a\x00\x7f \u07ff\u0800\uffff \U00010348x\U0001f600 ▁▁a  b▁ " + "ñ" * 70 + " "
+    for dropout in (0.0, 0.1, 0.9):
+        codec = piece_codec.Codec(vocabulary, dropout)
+        first = codec.encode([text, "", text], [5, 6, 5])
+        assert first[1] == b"" and first[0] == first[2] and codec.decode(first[0]) == text
+        codec._forget()
+        assert codec.encode(["b " + text, text], [4, 5])[1] == first[0]
+        words = ["▁" + w for w in codec.units(text)]
+        keys = codec.occurrence_keys(5, len(words))
+        assert b"".join(codec.batch(words, keys)[0]) == first[0]
+
+
 def test_every_occurrence_has_its_own_draws(vocabulary):
     """About a tenth of the occurrences of a short word skip a merge they need, in every document."""
     codec = piece_codec.Codec(vocabulary, 0.1, 1)

@@ -35,6 +35,9 @@ _LITERAL = "\udc00"  # stands for a SPACE character of the text itself; no valid
 _CHUNK_CHARS = 1_000_000
 _CACHE_WORDS = 400_000
 _LONG_WORD = 48
+_COLUMNS = 8192
+_NONE = np.iinfo(np.int64).min  # an empty slot; no pair of symbols, -1 included, has this key
+_GONE = -2  # a symbol that a merge took in
 
 
 @dataclass(frozen=True)
@@ -75,6 +78,52 @@ def _mix_int(x: int) -> int:
     return x ^ (x >> 31)
 
 
+class _Numbers(dict[str, int]):
+    """Words numbered in the order they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+@dataclass(frozen=True)
+class _Runs:
+    """Runs of ``flat``, ``count[i]`` values from ``begin[i]`` on."""
+
+    flat: np.ndarray
+    begin: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, flat: np.ndarray, count: np.ndarray) -> _Runs:
+        return cls(flat, np.cumsum(count) - count, count)
+
+    def then(self, other: _Runs) -> _Runs:
+        return _Runs(np.concatenate([self.flat, other.flat]), np.concatenate([self.begin, other.begin + len(self.flat)]), np.concatenate([self.count, other.count]))
+
+    def values(self, which: np.ndarray) -> np.ndarray:
+        """The values of some runs, one run after the other."""
+        begin, count = self.begin[which], self.count[which]
+        ends = np.cumsum(count)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - count), count)]
+
+
+@dataclass(frozen=True)
+class _Words:
+    """Words with their characters in ``points``, from ``first`` on, ``size`` of them with the SPACE in front."""
+
+    words: list[str]
+    points: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> _Words:
+        points = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return cls(words, points, np.cumsum(size) - size, size)
+
+
 @dataclass
 class Codec:
     vocabulary: Vocabulary
@@ -83,15 +132,18 @@ class Codec:
 
     def __post_init__(self) -> None:
         v = self.vocabulary
+        if len(v.pieces) >> 21:
+            raise ValueError("pairs of pieces are packed in 21 bits each")
         self.id_of = {p: i for i, p in enumerate(v.pieces) if v.normal[i]}
         by_rank = sorted((i for i in range(len(v.pieces)) if v.normal[i]), key=lambda i: (-v.scores[i], i))
         self.rank = np.full(len(v.pieces), 1 << 30, np.int64)
         self.rank[by_rank] = np.arange(len(by_rank))
-        self.by_rank = np.array(by_rank, np.int64)
+        self.by_rank = np.array(by_rank, np.int32)
         self.char_id = np.full(0x110000, -1, np.int32)
         for p, i in self.id_of.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
+        self.char_rank = np.where(self.char_id >= 0, self.rank[self.char_id], -1).astype(np.int32)
         pairs: dict[tuple[int, int], int] = {}
         for p, i in self.id_of.items():
             for cut in range(1, len(p)):
@@ -99,23 +151,28 @@ class Codec:
                 if a is not None and b is not None:
                     pairs[a, b] = i
         self.pairs = pairs
-        self.pair_keys = np.array(sorted(a << 32 | b for a, b in pairs), np.int64)
-        self.pair_ids = np.array([pairs[int(k) >> 32, int(k) & 0xFFFFFFFF] for k in self.pair_keys], np.int64)
+        made = np.array([(a, b, m) for (a, b), m in pairs.items()], np.int64).reshape(-1, 3)
+        left, right, whole = self.rank[made].T
+        held = left << 21 | right
+        order = np.argsort(held)
+        self.pair_keys, self.pair_made = held[order], whole[order]
         slot = self._slots(self.pair_keys)
-        self.table = np.full(1 << 22, -1, np.int32)
-        self.table[slot] = np.arange(len(slot))  # of pairs in one slot the last holds it
-        self.crowded = np.zeros(1 << 22, bool)
-        held = self.table[slot] != np.arange(len(slot))
-        self.crowded[slot[held]] = True
-        self.spell = self._spelling()
+        self.table = np.full(1 << 19, _NONE, np.int64)
+        self.table[slot] = self.pair_keys << 21 | self.pair_made  # of pairs in one slot the last holds it
+        self.crowded = np.zeros(1 << 19, bool)
+        self.crowded[slot[self.table[slot] >> 21 != self.pair_keys]] = True
+        grid = np.arange(64, dtype=np.uint64)
+        self.mixed = _mix(self._place(grid[:, None, None], grid[:, None], grid)).ravel()
+        self.spell = pa.array(self._spelling(), pa.binary())
         self.limit = int(self.dropout * 2.0**64) if self.dropout < 1 else _M
         self._forget()
 
     def _forget(self) -> None:
         """Start afresh with no word known."""
-        self.number: dict[str, int] = {}
-        self.known: list[bytes] = []
-        self.first, self.taken = np.zeros(1, np.int64), np.zeros(0, np.uint64)
+        self.number = _Numbers()
+        none = np.zeros(0, np.int64)
+        self.known = _Runs(np.zeros(0, np.int32), none, none)
+        self.taken = _Runs(np.zeros(0, np.uint64), none, none)  # places of the merges taken, mixed
 
     def _spelling(self) -> list[bytes]:
         v = self.vocabulary
@@ -126,24 +183,35 @@ class Codec:
 
     @staticmethod
     def _slots(keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).view(np.int64)
+
+    @staticmethod
+    def _place(start: np.ndarray, mid: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return start.astype(np.uint64) << np.uint64(42) | mid.astype(np.uint64) << np.uint64(21) | stop.astype(np.uint64)
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Piece that two adjacent pieces make, -1 for none."""
-        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        """Rank of the piece that two adjacent ones, given by rank, make; -1 for none."""
+        keys = left.astype(np.int64) << 21 | right
         slot = self._slots(keys)
-        at = self.table[slot]
-        ok = (at >= 0) & (self.pair_keys[at] == keys)
-        out = np.where(ok, self.pair_ids[at], -1)
+        held = self.table[slot]
+        ok = held >> 21 == keys
+        out = np.where(ok, held & 0x1FFFFF, -1)
         lost = np.flatnonzero(~ok & self.crowded[slot])
         if len(lost):
             i = np.minimum(np.searchsorted(self.pair_keys, keys[lost]), len(self.pair_keys) - 1)
-            out[lost] = np.where(self.pair_keys[i] == keys[lost], self.pair_ids[i], -1)
+            out[lost] = np.where(self.pair_keys[i] == keys[lost], self.pair_made[i], -1)
         return out
 
     def occurrence_keys(self, document: int, n: int) -> np.ndarray:
         """A key for each of the ``n`` words of a document; ``document`` is a hash of its own."""
-        return _mix(np.uint64((document ^ _mix_int(self.seed & _M)) & _M) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return self._all_keys([document], [n])
+
+    def _all_keys(self, documents: list[int], sizes: list[int]) -> np.ndarray:
+        seed = _mix_int(self.seed & _M)
+        size = np.array(sizes, np.int64)
+        own = np.array([(d ^ seed) & _M for d in documents], np.uint64)
+        nth = np.arange(1, size.sum() + 1) - np.repeat(np.cumsum(size) - size, size)
+        return _mix(np.repeat(own, size) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def _spelt(self, symbol: int, char: str) -> list[int]:
         if symbol >= 0:
@@ -187,62 +255,142 @@ class Codec:
         return [x for i in range(n) if not dead[i] for x in self._spelt(ids[i], word[i])], taken
 
     def batch(self, words: list[str], keys: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Segmentations (int32 little-endian) of many short words at once, what :meth:`agenda` gives for each: a round takes the best merge of every word.
+        """Segmentations (int32 little-endian) of many words at once, what :meth:`agenda` gives for each.
 
-        Also the places of the merges taken, in the order of the words, and where each word's begin.
+        Also, without ``keys``, the places of the merges taken, in the order of
+        the words, and where each word's begin.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        pieces, taken = self._rounds(points, np.cumsum(size) - size, size, keys)
+        ids = [pieces.flat[a : a + n].tobytes() for a, n in zip(pieces.begin.tolist(), pieces.count.tolist())]
+        return ids, taken.values(np.arange(len(words))), np.append(0, np.cumsum(taken.count))
+
+    def _rounds(self, points: np.ndarray, first: np.ndarray, size: np.ndarray, keys: np.ndarray | None) -> tuple[_Runs, _Runs]:
+        """Pieces of many words and, without ``keys``, the places of the merges taken. Words of about the same size go together."""
+        n = len(size)
+        order = np.argsort(size, kind="stable")
+        ranked = size[order]
+        pieces, counts, taken, merges = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < n:
+            upto = int(np.searchsorted(ranked, ranked[at] + 1 + ranked[at] // 4, "right"))
+            upto = min(upto, at + _COLUMNS)
+            some = order[at:upto]
+            p, c, t, m = self._block(points, first[some], size[some], None if keys is None else keys[some])
+            pieces.append(p)
+            counts.append(c)
+            taken.append(t)
+            merges.append(m)
+            at = upto
+        out = []
+        for flat, count in ((pieces, counts), (taken, merges)):
+            runs = _Runs.of(np.concatenate(flat), np.concatenate(count))
+            begin, number = np.empty(n, np.int64), np.empty(n, np.int64)
+            begin[order], number[order] = runs.begin, runs.count
+            out.append(_Runs(runs.flat, begin, number))
+        return out[0], out[1]
+
+    def _block(self, points: np.ndarray, first: np.ndarray, size: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces and their number for each word, merges taken and theirs.
+
+        A word is a column with a row per character and an empty one below. A
+        symbol stays in the row of its first character; ``cost`` orders its
+        merge with the next one. A round takes the best merge of every word.
         """
-        text = "".join(words)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        size = np.array([len(w) for w in words], np.int64)
-        first = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(words)), size)
-        start = np.arange(len(points)) - first[owner]
-        stop, ids = start + 1, self.char_id[points].astype(np.int64)
-        done_owner, done_ids, done_at = [], [], []
-        took_owner, took = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        n, rows = len(size), int(size.max())
+        bits = rows.bit_length()
+        kind = np.int32 if len(self.by_rank) << bits < 1 << 31 else np.int64
+        none, low = np.iinfo(kind).max, (1 << bits) - 1
+        row = np.arange(rows + 1)[:, None]
+        inside = row < size
+        chars = points[np.where(inside, first + row, 0)]
+        symbol = np.where(inside, self.char_rank[chars], -1).ravel()
+        after = np.repeat(np.arange(1, rows + 2), n)
+        before = np.repeat(np.arange(-1, rows), n)
         limit = np.uint64(self.limit)
-        while len(owner):
-            near = np.flatnonzero((owner[:-1] == owner[1:]) & (ids[:-1] >= 0) & (ids[1:] >= 0))
-            made = self._merged(ids[near], ids[near + 1])
-            good = made >= 0
-            near, made = near[good], made[good]
-            place = (start[near].astype(np.uint64) << np.uint64(42)) | (start[near + 1].astype(np.uint64) << np.uint64(21)) | stop[near + 1].astype(np.uint64)
-            if keys is not None and len(near):
-                kept = _mix(keys[owner[near]] ^ _mix(place)) >= limit
-                near, made, place = near[kept], made[kept], place[kept]
-            cost, whose = self.rank[made] << 21 | start[near], owner[near]
-            first_of = np.flatnonzero(np.diff(whose, prepend=-1))
-            live = np.zeros(len(owner), bool)
-            pick = near[:0]
-            if len(first_of):
-                least = np.minimum.reduceat(cost, first_of)
-                active = np.zeros(len(words), bool)
-                active[whose[first_of]] = True
-                live = active[owner]
-                pick = np.flatnonzero(cost == np.repeat(least, np.diff(first_of, append=len(cost))))
-            if not live.all():
-                done_owner.append(owner[~live])
-                done_ids.append(ids[~live])
-                done_at.append(start[~live])
-            at = near[pick]
+
+        def offers(left: np.ndarray, right: np.ndarray, start: np.ndarray, mid: np.ndarray, stop: np.ndarray, column: np.ndarray) -> np.ndarray:
+            made = self._merged(left, right)
+            found = np.flatnonzero(made >= 0)
+            out = np.full(len(made), none, kind)
+            if keys is not None:
+                a, b, c = start[found], mid[found], stop[found]
+                mixed = self.mixed[a << 12 | b << 6 | c] if rows < 64 else _mix(self._place(a, b, c))
+                found = found[_mix(keys[column[found]] ^ mixed) >= limit]
+            out[found] = made[found] << bits | start[found]
+            return out
+
+        cells = rows * n
+        cost = np.full(cells + n, none, kind)
+        near = np.flatnonzero((symbol[:-n] >= 0) & (symbol[n:] >= 0))
+        start = near // n
+        cost[near] = offers(symbol[near], symbol[near + n], start, start + 1, start + 2, near - start * n)
+        grid = cost.reshape(rows + 1, n)
+        took = []
+        while True:
+            best = grid.min(axis=0)
+            column = np.flatnonzero(best != none)
+            if not len(column):
+                break
+            best = best[column].astype(np.int64)
+            start, made = best & low, best >> bits
+            at = start * n + column
+            mid = after[at]
+            gone = mid * n + column
+            stop = after[gone]
+            behind = stop * n + column
+            symbol[at], symbol[gone] = made, _GONE
+            after[at], before[behind] = stop, start
+            cost[gone] = none
+            front = before[at]  # -1 is the empty row
+            ahead = front * n + column
+            new = offers(
+                np.concatenate([made, symbol[ahead]]),
+                np.concatenate([symbol[behind], made]),
+                np.concatenate([start, front]),
+                np.concatenate([stop, start]),
+                np.concatenate([after[behind], stop]),
+                np.concatenate([column, column]),
+            )
+            cost[at], cost[ahead] = new[: len(at)], new[len(at) :]
             if keys is None:
-                took_owner.append(owner[at])
-                took.append(place[pick])
-            ids[at], stop[at] = made[pick], stop[at + 1]
-            live[at + 1] = False
-            owner, ids, start, stop = owner[live], ids[live], start[live], stop[live]
-        o, i, s = np.concatenate(done_owner), np.concatenate(done_ids), np.concatenate(done_at)
-        order = np.argsort(o << 21 | s, kind="stable")
-        o, i, s = o[order], i[order], s[order]
-        ends = np.searchsorted(o, np.arange(len(words) + 1))
-        spelt = i.astype(np.int32).tobytes()
-        ends = (ends * 4).tolist()
-        out = [spelt[a:b] for a, b in zip(ends, ends[1:])]
-        for w in np.unique(o[i < 0]).tolist():
-            out[w] = np.array([x for j in range(ends[w] // 4, ends[w + 1] // 4) for x in self._spelt(int(i[j]), words[w][s[j]])], np.int32).tobytes()
-        whose = np.concatenate(took_owner)
-        order = np.argsort(whose, kind="stable")
-        return out, np.concatenate(took)[order], np.searchsorted(whose[order], np.arange(len(words) + 1))
+                took.append((column, self._place(start, mid, stop)))
+        merges = np.zeros((n, len(took)), np.uint64)
+        for i, (column, place) in enumerate(took):
+            merges[column, i] = place
+        stays = (inside & (symbol.reshape(rows + 1, n) != _GONE)).T
+        ranks = symbol.reshape(rows + 1, n).T[stays]
+        count = stays.sum(axis=1)
+        pieces = self.by_rank[ranks]
+        if (ranks < 0).any():
+            pieces, count = self._with_bytes(pieces, count, np.where(ranks < 0, chars.T[stays], 0), ranks < 0)
+        return pieces, count, merges[merges != 0], (merges != 0).sum(axis=1)
+
+    def _with_bytes(self, pieces: np.ndarray, count: np.ndarray, chars: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``pieces`` with the UTF-8 bytes of ``chars`` for those that are ``unknown``."""
+        chars = np.where(chars == ord(_LITERAL), ord(SPACE), chars).astype(np.int64)
+        length = np.where(unknown, 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000), 1)
+        source = np.repeat(np.arange(len(pieces)), length)
+        nth = np.arange(len(source)) - np.repeat(np.cumsum(length) - length, length)
+        n = length[source]
+        part = chars[source] >> 6 * (n - 1 - nth)
+        lead = np.where(n == 1, part, (0xF00 >> n) & 0xFF | part)
+        byte = np.where(nth == 0, lead, 0x80 | part & 0x3F)
+        out = np.where(unknown[source], np.array(self.vocabulary.byte_id, np.int32)[byte & 0xFF], pieces[source])
+        ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(count))]
+        return out, np.diff(ends)
+
+    def _segment(self, w: _Words, which: np.ndarray, keys: np.ndarray | None) -> tuple[_Runs, _Runs, np.ndarray]:
+        """Pieces and merges taken of the words ``which``, and the order that they come in: long ones last, by the agenda."""
+        far = w.size[which] > _LONG_WORD + 1
+        near, long = np.flatnonzero(~far), np.flatnonzero(far)
+        pieces, taken = self._rounds(w.points, w.first[which[near]], w.size[which[near]], None if keys is None else keys[near])
+        slow = [self.agenda(SPACE + w.words[which[i]], None if keys is None else int(keys[i])) for i in long.tolist()]
+        if slow:
+            pieces = pieces.then(_Runs.of(np.array([x for ids, _ in slow for x in ids], np.int32), np.array([len(ids) for ids, _ in slow], np.int64)))
+            taken = taken.then(_Runs.of(np.array([x for _, t in slow for x in t], np.uint64), np.array([len(t) for _, t in slow], np.int64)))
+        return pieces, taken, np.concatenate([near, long])
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -261,20 +409,22 @@ class Codec:
                 run += 1
         return out
 
-    def _learn(self, missing: list[str]) -> None:
-        """Keep the segmentations of ``missing`` without dropout, with the merges they take."""
-        if len(self.known) + len(missing) > _CACHE_WORDS:
+    def _look_up(self, w: _Words) -> np.ndarray:
+        """The number of each word; the segmentations of new ones without dropout are kept, with the merges they take."""
+        at = np.fromiter(map(self.number.__getitem__, w.words), np.int64, len(w.words))
+        if len(self.number) > _CACHE_WORDS and len(self.known.count):
             self._forget()
-        short = [w for w in missing if len(w) <= _LONG_WORD]
-        long = [w for w in missing if len(w) > _LONG_WORD]
-        made, taken, ends = self.batch([SPACE + w for w in short], None) if short else ([], np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        slow = [self.agenda(SPACE + w, None) for w in long]
-        self.known += made + [np.array(ids, np.int32).tobytes() for ids, _ in slow]
-        for w in short + long:
-            self.number[w] = len(self.number)
-        counts = np.concatenate([np.diff(ends), np.array([len(t) for _, t in slow], np.int64)])
-        self.taken = np.concatenate([self.taken, taken, *[np.array(t, np.uint64) for _, t in slow]])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+            at = np.fromiter(map(self.number.__getitem__, w.words), np.int64, len(w.words))
+        old = len(self.known.count)
+        if len(self.number) > old:
+            new = np.flatnonzero(at >= old)
+            one = np.empty(len(self.number) - old, np.int64)  # a place where each new word is
+            one[at[new] - old] = new
+            pieces, taken, order = self._segment(w, one, None)
+            back = np.argsort(order)
+            self.known = self.known.then(_Runs(pieces.flat, pieces.begin[back], pieces.count[back]))
+            self.taken = self.taken.then(_Runs(_mix(taken.flat), taken.begin[back], taken.count[back]))
+        return at
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Piece ids of each text as int32 bytes; ``keys`` are hashes that tell documents apart."""
@@ -291,42 +441,35 @@ class Codec:
 
     def _chunk(self, texts: list[str], keys: list[int]) -> list[bytes]:
         docs = [self.units(t) if t else [] for t in texts]
-        words = [w for d in docs for w in d]
-        number = self.number
-        missing = [w for w in dict.fromkeys(words) if w not in number]
-        if missing:
-            if len(number) + len(missing) > _CACHE_WORDS:
-                missing = list(dict.fromkeys(words))  # all others are forgotten
-            self._learn(missing)
-            number = self.number
-        at = [number[w] for w in words]
-        known = self.known
-        parts = [known[i] for i in at]
-        if self.limit and words:
-            own = np.concatenate([self.occurrence_keys(k & _M, len(d)) for k, d in zip(keys, docs)])
-            which = np.array(at, np.int64)
-            begin, count = self.first[which], self.first[which + 1] - self.first[which]
-            whose = np.repeat(np.arange(len(words)), count)
-            place = self.taken[np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
-            skipped = _mix(own[whose] ^ _mix(place)) < np.uint64(self.limit)
-            again = np.unique(whose[skipped])
-            short = [i for i in again.tolist() if len(words[i]) <= _LONG_WORD]
-            if short:
-                for i, ids in zip(short, self.batch([SPACE + words[i] for i in short], own[short])[0]):
-                    parts[i] = ids
-            for i in again.tolist():
-                if len(words[i]) > _LONG_WORD:
-                    parts[i] = np.array(self.agenda(SPACE + words[i], int(own[i]))[0], np.int32).tobytes()
-        out, at = [], 0
-        for d in docs:
-            out.append(b"".join(parts[at : at + len(d)]))
-            at += len(d)
-        return out
+        sizes = [len(d) for d in docs]
+        if not any(sizes):
+            return [b""] * len(texts)
+        w = _Words.of([u for d in docs for u in d])
+        at = self._look_up(w)
+        runs = self.known
+        if self.limit:
+            own = self._all_keys(keys, sizes)
+            count = self.taken.count[at]
+            skipped = _mix(np.repeat(own, count) ^ self.taken.values(at)) < np.uint64(self.limit)
+            skips = np.zeros(len(at), bool)
+            skips[np.repeat(np.arange(len(at)), count)[skipped]] = True
+            again = np.flatnonzero(skips)
+            pieces, _, order = self._segment(w, again, own[again])
+            at[again[order]] = len(runs.count) + np.arange(len(again))
+            runs = runs.then(pieces)
+        ids = runs.values(at)
+        ends = (np.append(0, np.cumsum(runs.count[at]))[np.append(0, np.cumsum(sizes))] * 4).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: bytes | np.ndarray | list[int]) -> str:
-        numbers = np.frombuffer(ids, np.int32).tolist() if isinstance(ids, bytes) else list(ids)
-        spell = self.spell
-        return b"".join([spell[i] for i in numbers]).decode("utf-8", "surrogatepass")[1:]
+        numbers = np.frombuffer(ids, np.int32) if isinstance(ids, bytes) else np.asarray(ids, np.int32)
+        if not len(numbers):
+            return ""
+        spelt = self.spell.take(pa.array(numbers))
+        _, ends, data = spelt.buffers()
+        size = np.frombuffer(ends, np.int32, len(numbers) + 1)[-1]
+        return str(memoryview(data)[:size], "utf-8", "surrogatepass")[1:]
 
 
 _CODECS: dict[tuple[int, float, int], Codec] = {}
