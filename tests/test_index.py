@@ -69,6 +69,33 @@ def test_inserted_updated_and_replaced():
     assert Graph.unpack(Graph(x[:1], np.arange(1)).pack()).beam(q[0], 5)[0][1] == 0
 
 
+class _Scanned(dict):
+    scans = 0
+
+    def items(self):
+        self.scans += 1
+        return super().items()
+
+
+def test_a_change_does_not_scan_all_links():
+    x = _unit(900)
+    g = Graph(x[:600], np.arange(600), 12, 48)
+    g.links[0] = _Scanned(g.links[0])
+    moved, by_scan = np.arange(0, 600, 5), []
+    leave = g._leave
+
+    def checked(node):
+        wanted = sorted(n for n, to in dict.items(g.links[0]) if node in to)
+        by_scan.append(wanted == g._sources(0, node))
+        leave(node)
+
+    g._leave = checked
+    g.upsert(np.concatenate([moved, np.arange(600, 900)]), np.concatenate([-x[moved], x[600:]]))
+    assert g.links[0].scans <= 2 and len(by_scan) == len(moved) and all(by_scan)
+    assert g.entry == int(g.level.argmax()) and len(g.ids) == len(g.x) == len(g.deleted) == 900
+    _sound(g)
+
+
 def test_few_matches_are_found_through_others():
     x, q = _unit(1500), _unit(20, seed=1)
     g = Graph(x, np.arange(1500), 12, 48)
