@@ -69,6 +69,20 @@ def test_inserted_updated_and_replaced():
     assert Graph.unpack(Graph(x[:1], np.arange(1)).pack()).beam(q[0], 5)[0][1] == 0
 
 
+def test_links_are_measured_in_bounded_parts(monkeypatch):
+    from vectrail.operators import index
+
+    g, sizes, exact = Graph(_unit(900), np.arange(900) * 3, 12, 48), [], index._exact
+    monkeypatch.setattr(index, "MEASURED", 1000)
+    monkeypatch.setattr(index, "_exact", lambda metric, a, b: sizes.append(len(a)) or exact(metric, a, b))
+    got = pd.concat(g.measured(0))
+    assert len(sizes) > 3 and max(sizes) <= 1000 + 2 * 24
+    assert {(s, d) for s, d in zip(got["src"], got["dst"])} == {(3 * n, 3 * j) for n, to in g.links[0].items() for j in to.tolist()} and len(got) == sum(map(len, g.links[0].values()))
+    for _, mine in got.groupby("src"):
+        assert mine["ord"].tolist() == list(range(1, len(mine) + 1)) and mine["dist"].is_monotonic_increasing
+    assert not list(g.measured(9)) and not list(Graph(np.zeros((0, 4)), np.zeros(0)).measured(0))
+
+
 class _Scanned(dict):
     scans = 0
 
