@@ -239,3 +239,73 @@ def test_curves_counts_and_points(spark):
     assert counted == {0: 2000 - 78, **{v: v for v in range(1, 13)}}
     points = spark.createDataFrame([("a", 20, 0.7, 9.0), ("a", 40, 0.9, 5.0), ("b", 20, 0.8, 7.0)], "method string, ef int, recall double, qps double")
     assert [(r.method, r.ef) for r in evaluate.reaching(points).collect()] == [("a", 40), ("b", 20)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_all_pairs_in_cells(spark, monkeypatch, metric):
+    """Many queries meet the rows in cells: as exact as the join, with more ties than a block has to spare, ties by id."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 60, 0), 1e3 + rng.normal(size=(40, 8))]).astype(np.float32)
+    ids = rng.permutation(len(x))
+    base = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)] + [(9000, None), (9001, [1.0]), (9002, [float("nan")] * 8)], "id bigint, embedding array<float>").repartition(5)
+    asked = base.where("id < 9000").withColumnRenamed("id", "query_id")
+    for name, value in {"MANY": 64, "CELL_ROWS": 150, "CELL_QUERIES": 90, "SAMPLE": 32, "ROWS_MET": 50, "QUERIES_MET": 70, "HELD": 500}.items():
+        monkeypatch.setattr(search, name, value)
+    got = search.top_k(base, asked, 3, metric, exclude_self=True).collect()
+    wanted = {}
+    for n, q in enumerate(x.astype(float)):
+        d = search._exact(metric, x.astype(float), q[None])
+        order = [i for i in np.lexsort((ids, d)) if i != n][:3]
+        wanted[int(ids[n])] = [(int(ids[i]), r + 1, float(d[i])) for r, i in enumerate(order)]
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.id, r.rank, r.dist))
+    assert {q: sorted(v, key=lambda t: t[1]) for q, v in found.items()} == wanted
+    # the same here, where the settings of a block count too
+    direct = {}
+    for q, i, d in zip(*(np.concatenate(p).tolist() for p in zip(*search._nearest(x, ids, x, ids, 3, metric, True)))):
+        direct.setdefault(q, []).append((i, len(direct.get(q, ())) + 1, d))
+    assert direct == wanted
+
+
+def test_pruning_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    edges = graph.knn_graph(_base(spark), 4)
+
+    def count(it):
+        for pdf in it:
+            read.add(len(pdf))
+            yield pdf
+
+    kept = graph.prune(edges.mapInPandas(count, edges.schema), _base(spark), 2)
+    assert kept.count() > 0 and read.value == edges.count()
+
+
+def test_quantile_models_are_spread(spark):
+    cdf = spark.createDataFrame([(c, v, (v + 1) / 5) for c in range(200) for v in range(5)], "cluster_id bigint, value int, cdf double")
+    model = sketches.quantile_model(cdf)
+    assert model.count() == 200
+    assert model.rdd.glom().map(len).filter(lambda n: n > 0).count() > 4
+
+
+@pytest.mark.parametrize("size", [0, 6, 40])
+def test_clusters_gather_in_arrays(size):
+    rng = np.random.default_rng(1)
+    src, dst = np.repeat(np.arange(400), 5) * 7, rng.integers(0, 430, 2000) * 7
+    near, seen, members, wanted, cluster = {}, set(), {}, set(), 0
+    for s, d in zip(src.tolist(), dst.tolist()):
+        near.setdefault(s, []).append(d)
+    for s in sorted({*src.tolist(), *dst.tolist()}):
+        if s in seen:
+            continue
+        members[s] = True
+        for d in near.get(s, ()):
+            for e in (d, *near.get(d, ())):
+                members.setdefault(e, False)
+        seen.update(members)
+        if len(members) >= size:
+            wanted |= {(i, cluster, seed) for i, seed in members.items()}
+            members, cluster = {}, cluster + 1
+    wanted |= {(i, cluster, seed) for i, seed in members.items()}
+    got = sketches._gathered(src, dst, size)
+    assert len(got[0]) == len(wanted) and set(zip(*(a.tolist() for a in got))) == wanted
