@@ -13,6 +13,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -956,3 +957,20 @@ def test_pipeline_against_its_stages_by_brute_force(spark, sf):
     for r in corpus_pipeline.run(spark, sf).collect():
         held[r.doc_id] += r.n_words
     assert dict(held) == wanted
+
+
+def test_words_are_told_at_once_as_one_by_one(monkeypatch):
+    """Numbers of texts and hashes of words looked up in arrays are those of the words one by one, also when places are short."""
+    monkeypatch.setattr(near_dup, "PLACES", 16)
+    monkeypatch.setattr(near_dup, "_table", near_dup._Table())
+    rng = np.random.default_rng(2)
+    texts = [None, "", " \t", "a", "É ñandú straße", "x" * 17, "y" * 16, "z" * 8, "q" * 9 + " " + "w" * 40 + "\0b", "  a  b ", "\ud800 x", "-", "a-b_c 9", "", None]
+    texts += [" ".join("w" * int(n) + str(i) for n, i in zip(rng.integers(0, 14, 60), rng.integers(0, 90, 60))) for _ in range(30)]
+    for most in (1, 100, 1 << 20):
+        told = list(near_dup.told(texts, most))
+        assert len(told) == len(texts)
+        for text, (num, hashes) in zip(texts, told):
+            words = near_dup.words_of(text)
+            assert num == (near_dup.content_of(words) if words else None)
+            assert hashes.tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+            assert near_dup._shingled(hashes, 3).tolist() == near_dup.shingles_of(words).tolist()
